@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, toxicity
+from tessera.llm import extraction, matroska, packing, pii, toxicity
 from tessera.llm.common import table
 
 
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = matroska.media_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = media.select("doc_id", F.length(F.coalesce(F.encode("text", "utf-8"), F.lit(b""))).cast("long").alias("n_bytes"), matroska.features("media").alias("read"))
+    return read.select("doc_id", "n_bytes", "read.*")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -24,12 +30,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii.*")
+
+
+def op9_two_pass_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_matroska": op2_matroska,
     "op7_toxicity": op7_toxicity,
+    "op8_offset_preserving_pii": op8_offset_preserving_pii,
+    "op9_two_pass_blocks": op9_two_pass_blocks,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
