@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 100_000
 
 _own_folders: dict[str, str] = {}
 

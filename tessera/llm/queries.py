@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import extraction, matroska, mixing, packing, pii, topk, toxicity, warc
+from tessera.llm import extraction, jaccard, matroska, mixing, packing, pii, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -63,6 +63,10 @@ FROM (
 """
 
 
+def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mixing": op3_pareto_mixing,
     "op4_no_random_access": op4_no_random_access,
     "op5_warc_merge": op5_warc_merge,
+    "op6_token_groups": op6_token_groups,
     "op7_toxicity": op7_toxicity,
     "op8_offset_preserving_pii": op8_offset_preserving_pii,
     "op9_two_pass_blocks": op9_two_pass_blocks,
