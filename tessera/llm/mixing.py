@@ -10,7 +10,7 @@ few rows of one fine cell, so a source may hold any share of all rows: nothing s
 Random numbers are hashes of the id, so reruns agree. All main-path work is DataFrame functions.
 
 Defined results: null texts have size 0; a null source is a source, the last in order; rows with equal
-ids share a rank, and are taken together; sources without words have target 0; an empty table gives no
+ids share a rank and are taken together; sources without words have target 0; an empty table gives no
 rows; other columns are kept (names of the added ones, if there, are replaced).
 """
 
@@ -73,32 +73,54 @@ def odds_rank(id_: Column, probability: Column) -> Column:
     return q / (1 + q)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """id, source, size, source_size, target, copies and taken (words of all copies) of each row."""
+def cell_of(rank: Column) -> Column:
+    return F.least(F.floor(rank * (CELLS * CELLS)), F.lit(CELLS * CELLS - 1)).cast("long")
+
+
+def crossing(found: DataFrame, by: str) -> DataFrame:
+    """For each source the first histogram cell at which its remaining words are reached."""
+    sums = found.groupBy("source", by, "left").agg(F.sum("size").alias("size"))
+    until = F.sum("size").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    first = sums.withColumn("until", until).filter("until >= left")
+    return first.groupBy("source").agg(F.min_by(F.struct(F.col(by).alias("at"), (F.col("until") - F.col("size")).alias("before")), by).alias("cut")).select("source", "cut.*")
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """A row for each source: its size and target, its certain copies, and where its order is cut."""
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = targets(sources, "source", weights, share, ceiling)
+    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source", weights, share, ceiling)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = aims.withColumn("certain", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.col("certain")).withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
-    cell = F.least(F.floor(F.col("rank") * (CELLS * CELLS)), F.lit(CELLS * CELLS - 1)).cast("long")
-    rows = join_lookup(sized, aims, ["source"]).withColumn("rank", F.when(F.col("fraction") > 0, odds_rank(F.col("id"), F.col("fraction")))).withColumn("cell", cell)
-    open_ = rows.filter("fraction > 0").withColumn("coarse", F.floor(F.col("cell") / CELLS))
-
-    def crossing(found: DataFrame, by: str) -> DataFrame:
-        """For each source the first histogram cell at which its remaining words are reached."""
-        sums = found.groupBy("source", by, "left").agg(F.sum("size").alias("size"))
-        until = F.sum("size").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-        return sums.withColumn("until", until).filter("until >= left").groupBy("source").agg(F.min_by(F.struct(F.col(by).alias("at"), (F.col("until") - F.col("size")).alias("before")), by).alias("cut")).select("source", "cut.*")
-
+    aims = materialize(aims)
+    open_ = join_lookup(sized, aims, ["source"]).filter("fraction > 0").withColumn("rank", odds_rank(F.col("id"), F.col("fraction"))).withColumn("cell", cell_of(F.col("rank"))).withColumn("coarse", F.floor(F.col("cell") / CELLS))
     first = materialize(crossing(open_, "coarse").withColumnsRenamed({"at": "coarse_at", "before": "before1"}))
     inside = materialize(join_lookup(open_, first, ["source"], "inner").filter("coarse = coarse_at").withColumn("left", F.col("left") - F.col("before1")).select("source", "id", "size", "rank", "cell", "left"))
     second = materialize(crossing(inside, "cell").withColumnsRenamed({"at": "cell_at", "before": "before2"}))
-    last = join_lookup(inside, second, ["source"], "inner").filter("cell = cell_at")
-    until = F.sum("size").over(Window.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0))
-    # rows of one fine cell: a row is in if its middle word is
-    final = last.groupBy("source", "rank", "id", "left", "before2").agg(F.sum("size").alias("size")).withColumn("until", until).filter("before2 + until - size / 2.0 <= left").groupBy("source").agg(F.max("rank").alias("rank_at"))
-    cuts = materialize(second.drop("before2").join(final, second["source"].eqNullSafe(final["source"]), "left").select(second["source"], "cell_at", "rank_at"))
-    chosen = (F.col("cell") < F.col("cell_at")) | F.col("cell_at").isNull() | (F.col("cell") == F.col("cell_at")) & F.coalesce(F.col("rank") <= F.col("rank_at"), F.lit(False))
-    copies = F.col("certain") + F.when((F.col("fraction") > 0) & (F.col("left") > 0), chosen.cast("long")).otherwise(0)
-    out = join_lookup(rows, cuts, ["source"]).withColumn("copies", copies)
-    return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    # the rows of one fine cell: those ranked so that their middle word is within what remains
+    last = join_lookup(inside, second, ["source"], "inner").filter("cell = cell_at").groupBy("source", "rank", "left", "before2").agg(F.sum("size").alias("size"))
+    until = F.sum("size").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    final = materialize(last.withColumn("until", until).filter("before2 + until - size / 2.0 <= left").groupBy("source").agg(F.max("rank").alias("rank_at")))
+    return materialize(join_lookup(join_lookup(aims, second.drop("before2"), ["source"]), final, ["source"]))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", prefix: str = "", **options) -> DataFrame:
+    """``docs`` with source_size, target and copies (0, 1, 2, ...) of each row, their names after ``prefix``.
+
+    The texts are not shuffled: a source's row of the plan says which of its documents are taken.
+    """
+    cuts = plan(docs, id_col, source_col, **options)
+    there = {c: f"__{c}" for c in cuts.columns if c != "source"}
+    rows = join_lookup(docs, cuts.withColumnsRenamed(there | {"source": source_col}), [source_col])
+    rank = odds_rank(F.col(id_col), F.col("__fraction"))
+    cell, at = cell_of(rank), F.col("__cell_at")
+    chosen = at.isNull() | (cell < at) | (cell == at) & F.coalesce(rank <= F.col("__rank_at"), F.lit(False))
+    extra = F.when((F.col("__fraction") > 0) & (F.col("__left") > 0), chosen.cast("long")).otherwise(0)
+    added = {f"{prefix}source_size": F.col("__source_size"), f"{prefix}target": F.col("__target"), f"{prefix}copies": F.col("__certain") + extra}
+    return rows.withColumns(added).drop(*there.values())
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken."""
+    mixed = mix(docs, prefix="__mix_", **options)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))
+    return mixed.filter(F.col("__mix_copies") > 0).withColumn("__mix_copy", times).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import extraction, jaccard, matroska, mixing, packing, pii, topk, toxicity, warc
+from tessera.llm import extraction, jaccard, matroska, mixing, packing, pii, quality, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, table(spark, sf_dir, "labels"))
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = matroska.media_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = media.select("doc_id", F.length(F.coalesce(F.encode("text", "utf-8"), F.lit(b""))).cast("long").alias("n_bytes"), matroska.features("media").alias("read"))
@@ -24,8 +29,9 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs).withColumn("size", mixing.words(F.col("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op4_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +93,14 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_quality": op1_hierarchical_quality,
     "op2_matroska": op2_matroska,
     "op3_pareto_mixing": op3_pareto_mixing,
     "op4_no_random_access": op4_no_random_access,
@@ -97,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_offset_preserving_pii": op8_offset_preserving_pii,
     "op9_two_pass_blocks": op9_two_pass_blocks,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op4_no_random_access": OP4_SQL, "op5_warc_merge": OP5_SQL}

@@ -127,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"ids": ids, "weights": w * ratios, "bias": b + float(shift)}
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a column ``score`` from 0 to 1."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The rows of ``docs`` with a column ``name`` from 0 to 1."""
     ids, weights, bias = model["ids"], model["weights"], model["bias"]
 
     @F.pandas_udf("double")
@@ -139,4 +139,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             z = np.array([of[grams.of(t or "", among)].sum() + bias for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.withColumn("score", toxic(F.col(text_col)))
+    return docs.withColumn(name, toxic(F.col(text_col)))
