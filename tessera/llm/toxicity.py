@@ -3,7 +3,7 @@
 Features are the distinct character n-grams (ORDERS, lower-cased text, hashed to 2**BITS) of the
 whole text. Training: document frequencies by class are counted in a grouped aggregation over the
 labelled training rows; each feature gets r = log of the ratio of its smoothed class frequencies; the
-features with the strongest evidence are kept; a logistic regression is then fitted on the kept
+features that are most surely more frequent in toxic rows are kept; a logistic regression is then fitted on the kept
 features, each scaled by its r. Only training looks at labels, on at most ``train_rows`` rows (those with the
 smallest hashes of their ids, toxic ones first up to half), a documented bound. Scoring reads every
 text in one pass without a shuffle and sends the model with the task (BITS bound its size).
@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
-ORDERS = (3, 4, 5)
+BITS = 20
+ORDERS = (3, 4, 5, 6)
 TRAIN_ROWS = 16_000
-KEPT_FEATURES = 4_000
+KEPT_FEATURES = 2_000
+#: Standard errors by which a kept feature is more frequent in toxic rows.
+EVIDENCE = 4.0
 THRESHOLD = 0.3
 #: Characters hashed at once, so that memory doesn't grow with a text.
 CHUNK = 1 << 18
@@ -67,7 +69,7 @@ class Grams:
         return h[self.last[h] == places]
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, ratios: np.ndarray, l2: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, ratios: np.ndarray, l2: float = 3.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights of sparse 0/1 rows, each feature scaled by its ratio; full-batch Adam."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.concatenate(rows) if len(at) else np.zeros(0, dtype=np.int64)
@@ -109,8 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counted = rows.mapInPandas(count, "f int, n0 int, n1 int").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     ratio = F.log((F.col("n1") + 1.0) / (n1 + 2.0)) - F.log((F.col("n0") + 1.0) / (n0 + 2.0))
-    strength = F.abs(F.col("n1") / float(n1) - F.col("n0") / float(n0)) * F.abs(F.col("r"))
-    best = counted.withColumn("r", ratio).filter("n0 + n1 >= 3").orderBy(F.desc(strength), "f").limit(KEPT_FEATURES).select("f", "r").toPandas().sort_values("f")
+    common = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2.0)
+    strength = (F.col("n1") / float(n1) - F.col("n0") / float(n0)) / F.sqrt(common * (1 - common) * (1 / n1 + 1 / n0))
+    best = counted.withColumns({"r": ratio, "z": strength}).filter((F.col("n0") + F.col("n1") >= 3) & (F.col("z") > EVIDENCE)).orderBy(F.desc("z"), "f").limit(KEPT_FEATURES).select("f", "r").toPandas().sort_values("f")
     ids, ratios = best["f"].to_numpy(), best["r"].to_numpy()
     number = np.full(1 << BITS, -1, dtype=np.int32)
     number[ids] = np.arange(len(ids))

@@ -1,0 +1,32 @@
+import pytest
+from pyspark.sql import types as T
+
+#: Columns that operators use inside, to show that a table may have its own of that name.
+CLASHING = ["id", "n", "key", "token", "score", "copies", "target", "component", "rank", "text_", "media", "pii", "group", "part"]
+
+
+def documents(spark, rows, extra=True):
+    """rows: (doc_id, text, lang, source)."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+    values = [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows]
+    if extra:
+        for c in CLASHING:
+            schema = schema.add(c, T.StringType())
+        values = [(*v, *["x"] * len(CLASHING)) for v in values]
+    return spark.createDataFrame(values, schema)
+
+
+@pytest.fixture(scope="session")
+def odd_documents(spark):
+    """Nulls in any column, empty and very long texts, ties and repeated rows, columns of clashing names."""
+    long_text = " ".join(f"word{i % 977} mail{i}@long.example.com" for i in range(30_000))
+    rows = [
+        (1, "A plain text of some seven words here.", "en", "a"), (1, "A plain text of some seven words here.", "en", "a"), (2, None, "en", "a"), (3, "", None, "b"), (4, " \t\n", "en", None),
+        (5, long_text, "en", "b"), (6, "x" * 2_000_000, "de", "b"), (None, "A row without an id but with words.", "en", "a"), (7, "퟿ ☃ é\x00 end", "fr", "c"), (8, "A plain text of some seven words here.", None, None),
+    ]
+    return documents(spark, rows)
+
+
+@pytest.fixture(scope="session")
+def no_documents(spark):
+    return documents(spark, [])
