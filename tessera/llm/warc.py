@@ -33,12 +33,15 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1, from groups of 20 bits."""
-    digest = F.sha1(payload)
-    twenty = lambda i: F.conv(F.substring(digest, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-    letter = lambda i: F.substring(F.lit(BASE32), (F.floor(twenty(i) / F.pow(F.lit(2.0), 15 - 5 * (i % 4))).cast("int").bitwiseAND(31) + 1), F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of 40 hexadecimal digits, from groups of 20 bits."""
+
+    def letters(h: Column) -> Column:
+        twenty = lambda i: F.conv(F.substring(h, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
+        letter = lambda i: F.substring(F.lit(BASE32), (F.floor(twenty(i) / F.pow(F.lit(2.0), 15 - 5 * (i % 4))).cast("int").bitwiseAND(31) + 1), F.lit(1))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+
+    return F.transform(F.array(digest), letters)[0]  # as an element the digest is computed once, not for each letter
 
 
 def url_key(url: Column) -> Column:
@@ -57,10 +60,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         F.regexp_replace(F.col(url_col), r"[\r\n]", "%0A").alias("url"),
         F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
-    ).withColumn("n", F.octet_length("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "utf-8")))
-    first = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    return join_lookup(rows, materialize(first), ["digest"]).withColumn("revisits", F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")))
+    ).withColumns({"n": F.octet_length("payload"), "sha1": F.sha1("payload")})
+    first = rows.filter(F.col("n") >= least).groupBy("sha1").agg(F.max("id").alias("response"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    return join_lookup(rows, materialize(first), ["sha1"]).withColumn("revisits", F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")))
 
 
 def write_archive(recs: DataFrame, path: str) -> None:
@@ -68,7 +70,7 @@ def write_archive(recs: DataFrame, path: str) -> None:
     head = lambda kind, length: F.concat(
         F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Date: "), F.col("time"),
         F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit("\r\nWARC-Target-URI: "), F.col("url"))),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("n").cast("string"),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("sha1")), F.lit("\r\nX-Payload-Length: "), F.col("n").cast("string"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"),
     )
     response = F.concat(head("response", F.col("n") + len(HTTP_HEAD)), F.lit(SEPARATOR + HTTP_HEAD), F.col("payload"))
