@@ -76,6 +76,16 @@ def number_kind(a: np.ndarray, b: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
+def widest(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``no_random_access`` for sums beyond a float's whole numbers: all lists are read to their ends."""
+    whole = lambda x: np.array([[int(v) for v in r] for r in x], dtype=object)
+    scores, out = whole(q) @ whole(rows).T, []
+    for i in range(len(q)):
+        own = sorted((-s, ids[j], j) for j, s in enumerate(scores[i]) if ids[j] != q_ids[i])[:k]
+        out += [(i, j, min(max(-s, -(2**63)), 2**63 - 1)) for s, _, j in own]
+    return tuple(np.array([r[c] for r in out], dtype=np.int64) for c in range(3))
+
+
 def block_pair(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     names = ["query_id", "vec_id", "score"]
     if not len(candidates) or not len(queries):
@@ -83,9 +93,11 @@ def block_pair(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Da
     ids, q_ids = candidates["id"].to_numpy(), queries["id"].to_numpy()
     rows, q = np.stack(candidates["vector"].to_numpy()).astype(float), np.stack(queries["vector"].to_numpy()).astype(float)
     kind = number_kind(rows, q)
-    rows, q, parts = rows.astype(kind), q.astype(kind), []
+    search, parts = (widest, []) if kind is object else (no_random_access, [])
+    if kind is not object:
+        rows, q = rows.astype(kind), q.astype(kind)
     for i in range(0, len(q), TOGETHER):
-        a, b, s = no_random_access(q[i : i + TOGETHER], q_ids[i : i + TOGETHER], rows, ids, k)
+        a, b, s = search(q[i : i + TOGETHER], q_ids[i : i + TOGETHER], rows, ids, k)
         parts.append((q_ids[i + a], ids[b], s.astype(np.int64)))
     return pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
 
