@@ -68,7 +68,7 @@ def first(df: DataFrame, keys: list[SortKey], id_col: str) -> DataFrame:
 
 
 def last(df: DataFrame, keys: list[SortKey], id_col: str) -> DataFrame:
-    turned = [F.expr("1")] if not keys else []
+    turned = []
     for k in keys:
         v = k.value()
         turned.append((v.asc_nulls_last() if k.missing_high else v.asc_nulls_first()) if k.descending else (v.desc_nulls_first() if k.missing_high else v.desc_nulls_last()))
