@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,18 +76,28 @@ def shred(text: str) -> list[dict]:
     return nodes
 
 
+#: Documents whose nodes are handed on together.
+DOCUMENTS = 500
+
+
 def import_documents(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The node table of a column of documents."""
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = [types[x.split()[1]] for x in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.iloc[a : a + 500]
-                rows = [n | {"doc_id": own} for own, text in zip(part["doc_id"], part["xml"], strict=True) for n in shred(text or "")]
-                out = pd.DataFrame(rows, columns=COLUMNS)
-                for c in ("parent", "sibling", "first_child", "last_child", "next_sibling", "prev_sibling"):
-                    out[c] = out[c].astype("Int64")
-                yield out
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(xml_col).alias("xml")).mapInPandas(run, SCHEMA)
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(at, DOCUMENTS)
+                rows: list[dict] = []
+                for own, text in zip(part.column("doc_id").to_pylist(), part.column("xml").to_pylist(), strict=True):
+                    found = shred(text or "")
+                    for n in found:
+                        n["doc_id"] = own
+                    rows += found
+                yield pa.RecordBatch.from_arrays([pa.array([n.get(c) for n in rows], kind) for c, kind in zip(COLUMNS, kinds, strict=True)], names=COLUMNS)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(xml_col).alias("xml")).mapInArrow(run, SCHEMA)
 
 
 AXES = (

@@ -455,7 +455,8 @@ def order_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nodes.import_documents(order_documents(spark, d), "doc_id", "xml")
+    """The node table; its steps read it several times, so it is kept."""
+    return nodes.import_documents(order_documents(spark, d), "doc_id", "xml").persist()
 
 
 LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)"
