@@ -81,6 +81,7 @@ def near_copies(seed, n=260):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_join_matches_all_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "WIDE_GROUP", 6)
     monkeypatch.setattr(jaccard, "LED", 8)
     rows = near_copies(seed)
     docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
