@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.values import passes
-
 
 def retrieve(df: DataFrame, key: str, value: object = None, how: str = "exact") -> DataFrame:
     """One row in key order: ``exact``, ``including`` (>=), ``excluding`` (>), ``first`` or ``last``."""
@@ -40,11 +38,15 @@ def records_of_keys(index: DataFrame, records: DataFrame, id_col: str = "drn") -
 
 def any_of(df: DataFrame, criteria: list[Column]) -> DataFrame:
     """The union of sub-queries over one table without repeats: one scan."""
-    return df.filter(reduce(lambda a, b: a | b, [passes(c) for c in criteria]))
+    return df.filter(reduce(lambda a, b: a | b, criteria))
 
 
 def comma_join(tables: list[DataFrame], where: Column) -> DataFrame:
-    """Tables side by side with a condition; each may be named once. Catalyst finds the join keys."""
+    """Tables side by side with a condition; each may be named once.
+
+    A filter drops the unknown as it drops the false, so the condition stays bare: Catalyst finds the join
+    keys in it and pushes the rest to the scans.
+    """
     if len({id(t) for t in tables}) != len(tables):
         raise ValueError("a table may be joined once")
-    return reduce(lambda a, b: a.crossJoin(b), tables).filter(passes(where))
+    return reduce(lambda a, b: a.crossJoin(b), tables).filter(where)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import phonetic, text, values
 from tessera.functions.text import EXACT, Rules
-from tessera.functions.values import Missing, passes
+from tessera.functions.values import Missing
 
 
 class Criterion:
@@ -30,7 +30,7 @@ class Criterion:
         return self.build(missing, False)
 
     def rows(self, df: DataFrame, missing: Missing = Missing.SQL) -> DataFrame:
-        return df.filter(passes(self.column(missing)))
+        return df.filter(self.column(missing))  # bare, so that it reaches the scan
 
     def __and__(self, other: Criterion) -> Criterion:
         return Both(self, other, True)
