@@ -115,6 +115,33 @@ def test_clean_texts_stay(text):
     assert pii.all_spans(text) == ([], []) and pii.redact_text(text) == text
 
 
+def ungated(text):
+    """The spans of a text that goes through both transducers whatever it holds."""
+    base = pii.base_spans(text)
+    plain_text, places = pii.letters(text)
+    rewritten, starts, ends = pii.words(plain_text, places, len(text))
+    found = {(k, starts[a], ends[b - 1]) for k, a, b in pii.base_spans(rewritten)}
+    return set(base) | {(k, a, b) for k, a, b in found if not any(k == x and s < b and a < e for x, s, e in base)}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "+1 four one five 555 0100", "joe{@}example.com", "joe < at > example.com", "joe@example{.}com", "joe@example[ . ]com", "+¹ ⁴¹⁵ ⁵⁵⁵ ⁰¹⁰⁰", "4111 1111 1111 111\u00b9", "joe@ex\u00aample.com",
+    ],
+)
+def test_the_gate_is_not_narrower_than_the_transducers(text):
+    assert set(pii.all_spans(text)[1]) == ungated(text) != set()
+    assert set(pii.all_spans(text + " ☃")[1]) == ungated(text)
+    assert "<" in pii.redact_text(text) != text
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*"abc1+-,. ([{<>}])@²ªé", "\n", " at ", " dot ", "one", "nine ", "TWO", "fıve", "oh ", "plus ", "point", "example", ".com"]), max_size=25).map("".join))
+def test_gated_and_ungated_spans_are_equal(text):
+    assert set(pii.all_spans(text)[1]) == ungated(text)
+
+
 def test_linear_time():
     for text in (" " * 200_000 + "x [at] b", "1" * 300_000, "a@" * 100_000, "one " * 100_000, "1." * 100_000, "+" * 100_000, "ab at cd dot " * 20_000):
         pii.all_spans(text)
