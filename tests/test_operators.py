@@ -214,3 +214,12 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/j").count() == 1
     with pytest.raises(ValueError):
         access.comma_join([df, df], F.lit(True))
+
+
+def test_text_round_trip_of_all_customers(spark):
+    from tessera.plans.queries import person_records
+
+    own = person_records(spark, "/root/testdata/sf0.001")
+    back = records.from_text_tree(own.select("drn", records.to_text_tree().alias("text")))
+    wanted, found = ({r.drn: r.fields for r in rows.select("drn", "fields").collect()} for rows in (own, back))
+    assert found == wanted and len(found) == own.count()
