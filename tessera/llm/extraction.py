@@ -3,9 +3,10 @@
 A page is split at block tags. First pass: blocks in containers that never hold the article (menus,
 footers, forms, adverts, notices, comments, ... by tag, role, class or id) are boilerplate, as are blocks
 made of links; the others are decided by length and stop-word density, or left ambiguous when short.
-Where a page marks its article (``article``, ``main``), blocks in it are content unless made of links
-and blocks outside are boilerplate. Second pass: ambiguous blocks take the label of the nearest decided
-block of their container, content on a tie.
+A page's mark of its article (``article``, ``main``) is evidence: fewer stop words are asked for in it and
+no block is bad for its text alone; outside, more are asked for unless most running text is there. Second
+pass: ambiguous blocks take the label of the nearest decided block of their container, content on a tie;
+in an article they are boilerplate only between two blocks that are.
 
 Defined results: null and empty pages give an empty text; markup that is broken off ends the page
 there; a page's text is read whole; repeated rows give repeated results; other columns are kept.
@@ -184,20 +185,35 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, marked: bool) -> str:
-    """good, bad, or short and open for the second pass."""
-    n = len(block.text)
-    if block.boilerplate or marked and not block.article or block.link_chars > LINK_HIGH * n:
-        return "bad"
-    if block.article:
-        return "good" if n >= LENGTH_LOW else "short"
+def density(block: Block) -> float:
     words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def by_text(block: Block) -> str:
+    """good, bad or short by a block's text alone."""
+    n, stops = len(block.text), density(block)
     if n < LENGTH_LOW:
         return "bad" if block.link_chars else "short"
-    if density >= STOP_HIGH or density >= STOP_LOW and n >= LENGTH_HIGH:
+    if stops >= STOP_HIGH or stops >= STOP_LOW and n >= LENGTH_HIGH:
         return "good"
-    return "short" if density >= STOP_LOW or n >= LENGTH_HIGH and not block.link_chars else "bad"
+    return "short" if stops >= STOP_LOW or n >= LENGTH_HIGH and not block.link_chars else "bad"
+
+
+def first_pass(found: list[Block]) -> None:
+    """Label blocks good, bad, or short and open for the second pass."""
+    amount = {True: 0, False: 0}
+    for b in found:
+        b.label = "bad" if b.boilerplate or b.link_chars > LINK_HIGH * len(b.text) else by_text(b)
+        amount[b.article > 0] += len(b.text) * (b.label == "good")
+    marked = any(b.article and not b.boilerplate for b in found) and amount[True] >= amount[False]
+    for b in found:
+        if b.boilerplate or b.link_chars > LINK_HIGH * len(b.text):
+            continue
+        if b.article:
+            b.label = "good" if len(b.text) >= LENGTH_LOW and density(b) >= STOP_LOW else "short"
+        elif marked and b.label == "good" and (len(b.text) < LENGTH_HIGH or density(b) < STOP_HIGH):
+            b.label = "short"
 
 
 def second_pass(found: list[Block]) -> None:
@@ -207,26 +223,25 @@ def second_pass(found: list[Block]) -> None:
         if not b.boilerplate:
             groups.setdefault(b.article, []).append(b)
     for article, own in groups.items():
-        decided: list[tuple[int, str]] = [(10**9, "")] * len(own)
+        sides: list[list[tuple[int, str]]] = [[] for _ in own]
         for order in (range(len(own)), range(len(own) - 1, -1, -1)):
             last = None
             for i in order:
                 if own[i].label != "short":
                     last = i
                 elif last is not None:
-                    gap = abs(i - last)
-                    if gap < decided[i][0] or gap == decided[i][0] and own[last].label == "good":
-                        decided[i] = (gap, own[last].label)
-        for b, (_, label) in zip(own, decided, strict=True):
+                    sides[i].append((abs(i - last), own[last].label))
+        for b, near in zip(own, sides, strict=True):
             if b.label == "short":
-                b.label = "good" if article else label or "bad"
+                if article:
+                    b.label = "bad" if [label for _, label in near] == ["bad", "bad"] else "good"
+                else:
+                    b.label = min(near, key=lambda x: (x[0], x[1] != "good"), default=(0, "bad"))[1]
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    marked = any(b.article and not b.boilerplate for b in found)
-    for b in found:
-        b.label = first_pass(b, marked)
+    first_pass(found)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")
 

@@ -177,6 +177,17 @@ def test_rules_without_an_article():
     assert extraction.main_text(page) == f"{good}\nA short line\n{good}"
 
 
+def test_text_decides_beside_the_article_mark():
+    good = "The man in the house was not of the same kind as that of the other people in the town, and it is so to this day for all of them in the land."
+    more = f"{good} {good}"
+    card = "<article><h3><a href=a>Another story</a></h3>A card of it <a href=a>Read on and on and on</a></article>"
+    assert extraction.main_text(f"<div><h1>Title</h1><p>{good}</p><p>A short line</p><p>{more}</p></div>{card}{card}") == f"Title\n{good}\nA short line\n{more}"
+    links = "<p><a href=a>one of the links to the other pages of this site</a></p>"
+    assert extraction.main_text(f"<article><h1>Title</h1>{links}<p>{good}</p>{links}<p>Tagged</p>{links}<p>{good}</p><p>Tail</p></article><p>Outside</p>") == f"Title\n{good}\n{good}\nTail"
+    # texts in a language without stop words here stay: the mark speaks for them
+    assert extraction.main_text("<article><p>" + "qwer " * 50 + "</p><p>asdf</p></article><p>zxcv</p>") == ("qwer " * 50).strip() + "\nasdf"
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "<!-- x", "a < b & c", "<script>x", "<p title=it's>one</p>", "</div></p>text", "<b></i>" * 500, "<div>" * 3000, "\x00<p>�"):
         extraction.main_text(page)
