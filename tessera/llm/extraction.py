@@ -8,6 +8,10 @@ no block is bad for its text alone; outside, more are asked for unless most runn
 pass: ambiguous blocks take the label of the nearest decided block of their container, content on a tie;
 in an article they are boilerplate only between two blocks that are.
 
+A name is a whole class or id, and weak evidence: it never excludes an article element by itself. One above
+an article excludes it only if the text outside such names is no less than each such article's, or if the
+article has such a name as well. Where tags, roles and names would exclude all blocks of a page, its texts decide.
+
 Defined results: null and empty pages give an empty text; markup that is broken off ends the page
 there; a page's text is read whole; repeated rows give repeated results; other columns are kept.
 """
@@ -18,6 +22,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,45 +66,73 @@ _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     boilerplate: bool
     article: int
     link: bool
+    hidden: bool = False
+    named: tuple[Element, ...] = ()  # itself and those above that have a container's name
+    holds: bool = False  # an article without such a name is below
 
 
 @dataclass
 class Block:
     boilerplate: bool
     article: int
+    hidden: bool = False
+    named: tuple[Element, ...] = ()
     pieces: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
     label: str = ""
 
+    @cached_property
+    def density(self) -> float:
+        """The share of stop words."""
+        words = self.text.lower().split()
+        return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def is_boilerplate_name(token: str) -> bool:
+    """Whether a class or id is a container's name as a whole: ``cookie-notice`` is, ``has-sidebar`` is not."""
+    parts = _NAME.findall(_CAMEL.sub(" ", token).lower())
+    return bool(parts) and all(p in BOILERPLATE_NAMES for p in parts)
+
 
 def describe(tag: str, attributes: str, above: Element | None, number: int) -> Element:
     """An element's place: in boilerplate, and the number of the article it is in (0: none)."""
     boilerplate, article = above is not None and above.boilerplate, above.article if above else 0
+    hidden, named = above is not None and above.hidden, above.named if above else ()
     names: set[str] = set()
+    own_name = False
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 names |= set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+                own_name |= any(map(is_boilerplate_name, value.split()))
             elif name == "role":
                 if value.lower() == "main":
                     names.add("main")
                 boilerplate |= value.lower() in BOILERPLATE_ROLES
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                boilerplate |= name != "aria-hidden" or tag != "body"
+                hidden |= name != "aria-hidden" or tag != "body"
     if tag not in ("html", "body"):
         boilerplate |= tag in BOILERPLATE_TAGS and not (tag == "header" and article)
-        boilerplate |= bool(names & BOILERPLATE_NAMES) and tag != "main" and not (tag in ("h1", "p") and article)
-    if not boilerplate and not article and (tag in ("article", "main") or "main" in names or tag in ("div", "section") and names & ARTICLE_NAMES and "wrapper" not in names):
+    boilerplate |= hidden
+    own_name &= tag not in ("html", "body", "main") and not (tag in ("h1", "p") and article)
+    is_article = tag in ("article", "main") or "main" in names or tag in ("div", "section") and bool(names & ARTICLE_NAMES) and "wrapper" not in names
+    if not boilerplate and not article and is_article:
         article = number
-    return Element(tag, boilerplate, article, tag == "a" or above is not None and above.link and tag not in BLOCK_TAGS)
+    element = Element(tag, boilerplate, article, tag == "a" or above is not None and above.link and tag not in BLOCK_TAGS, hidden, named)
+    if own_name and (named or tag != "article"):
+        element.named = (*named, element)
+    elif tag in ("article", "main") and not boilerplate:
+        for e in named:
+            e.holds = True
+    return element
 
 
 def blocks(page: str) -> list[Block]:
@@ -121,7 +154,7 @@ def blocks(page: str) -> list[Block]:
             if block.text:
                 out.append(block)
         top = stack[-1] if stack else None
-        block = Block(top is not None and top.boilerplate, top.article if top else 0)
+        block = Block(top.boilerplate, top.article, top.hidden, top.named) if top else Block(False, 0)
 
     while True:
         lt = page.find("<", at)
@@ -185,14 +218,9 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def density(block: Block) -> float:
-    words = block.text.lower().split()
-    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-
-
 def by_text(block: Block) -> str:
     """good, bad or short by a block's text alone."""
-    n, stops = len(block.text), density(block)
+    n, stops = len(block.text), block.density
     if n < LENGTH_LOW:
         return "bad" if block.link_chars else "short"
     if stops >= STOP_HIGH or stops >= STOP_LOW and n >= LENGTH_HIGH:
@@ -211,8 +239,8 @@ def first_pass(found: list[Block]) -> None:
         if b.boilerplate or b.link_chars > LINK_HIGH * len(b.text):
             continue
         if b.article:
-            b.label = "good" if len(b.text) >= LENGTH_LOW and density(b) >= STOP_LOW else "short"
-        elif marked and b.label == "good" and (len(b.text) < LENGTH_HIGH or density(b) < STOP_HIGH):
+            b.label = "good" if len(b.text) >= LENGTH_LOW and b.density >= STOP_LOW else "short"
+        elif marked and b.label == "good" and (len(b.text) < LENGTH_HIGH or b.density < STOP_HIGH):
             b.label = "short"
 
 
@@ -239,8 +267,26 @@ def second_pass(found: list[Block]) -> None:
                     b.label = min(near, key=lambda x: (x[0], x[1] != "good"), default=(0, "bad"))[1]
 
 
+def exclude(found: list[Block]) -> None:
+    """Exclude blocks by the names above them, as far as the page's texts allow."""
+    outside, articles = 0, {0: 0}
+    for b in found:
+        if not b.boilerplate and (not b.named or all(e.holds for e in b.named)) and b.link_chars <= LINK_HIGH * len(b.text) and by_text(b) == "good":
+            if not b.named:
+                outside += len(b.text)
+            elif b.article:
+                articles[b.article] = articles.get(b.article, 0) + len(b.text)
+    spare = not outside or max(articles.values()) > outside
+    for b in found:
+        b.boilerplate |= any(not (spare and e.holds) for e in b.named)
+    if all(b.boilerplate for b in found):
+        for b in found:
+            b.boilerplate, b.article = b.hidden, 0
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
+    exclude(found)
     first_pass(found)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")

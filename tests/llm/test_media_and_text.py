@@ -188,6 +188,22 @@ def test_text_decides_beside_the_article_mark():
     assert extraction.main_text("<article><p>" + "qwer " * 50 + "</p><p>asdf</p></article><p>zxcv</p>") == ("qwer " * 50).strip() + "\nasdf"
 
 
+def test_one_word_of_a_name_excludes_no_article():
+    good = "The man in the house was not of the same kind as that of the other people in the town, and it is so to this day for all of them in the land."
+    own = "<article{}><h1>Title</h1><p>" + good + "</p></article>"
+    for name in ("post comments-open", "post promo", "featured"):
+        assert extraction.main_text(own.format(f' class="{name}"')) == f"Title\n{good}"
+    for start in ('<div class="content has-sidebar">', "<div id='widget-content'>", '<div class="page no-header">', '<div class="content sidebar">', "<div id=more><div class=widget>"):
+        assert extraction.main_text(f"{start}{own.format('')}<div class=ad>{good}</div></div>") == f"Title\n{good}"
+    for name in ("comments", "related", "cookie-notice"):
+        assert extraction.main_text(f"{own.format('')}<div class={name}>{f'<article><p>{good}</p></article>' * 3}</div>") == f"Title\n{good}"
+    assert extraction.main_text(f"<div class=sidebar><article><p>{good}</p><p>{good} {good}</p></article></div><article><p>{good}</p></article>").startswith(f"{good}\n{good} {good}")
+    # all blocks excluded: their texts decide, but hidden ones stay out
+    for start, end in (("<form id=aspnetForm>", "</form>"), ("<div class=sidebar>", "</div>")):
+        assert extraction.main_text(f"{start}<p>{good}</p><p hidden>{good}</p><ul><li><a href=a>Menu</a></ul>{end}") == good
+    assert extraction.main_text("<nav><a href=a>Menu</a></nav><footer>&copy; all</footer>") == ""
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "<!-- x", "a < b & c", "<script>x", "<p title=it's>one</p>", "</div></p>text", "<b></i>" * 500, "<div>" * 3000, "\x00<p>�"):
         extraction.main_text(page)
