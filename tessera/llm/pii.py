@@ -75,11 +75,11 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# Greek and Cyrillic letters that look like Latin ones.
+# Greek, Cyrillic and odd Latin letters that look like ASCII ones.
 LOOKALIKES = dict(
     zip(
-        "АВЕКМНОРСТХаеорсухіјѕԁһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν",
-        "ABEKMHOPCTXaeopcyxijsdhlABEZHIKMNOPTYXoav",
+        "АВЕКМНОРСТХаеорсухіјѕԁһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρικτυγσЅІЈУӀԌԚԜѴѵԛԝϹϲϳıɡɑ",
+        "ABEKMHOPCTXaeopcyxijsdhlABEZHIKMNOPTYXoavpiktuyoSIJYIGQWVvqwCcjiga",
         strict=True,
     )
 )
@@ -89,8 +89,15 @@ SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six sev
 
 _DIGIT = "(?a:zero|one|two|three|four|five|six|seven|eight|nine)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
-# Endings by which a host in words ("at mail dot example dot com") is told from prose.
-_ENDING = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|me|eu|us|uk|ca|de|fr|es|it|nl|at|ch|example|test|invalid)"
+# Endings by which a host in words ("at mail dot example dot com") is told from prose; all country codes.
+_COUNTRIES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bl bm bn bo bq br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg eh er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mf mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
+    "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+    "ua ug uk um us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+).split()
+_ENDING = f"(?:com|org|net|edu|gov|mil|int|info|biz|dev|app|example|test|invalid|{'|'.join(_COUNTRIES)})"
 _RULES = re.compile(
     rf"(?P<at>(?<!\s)\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*(?=[A-Za-z0-9-])|(?<!\s)\s+at\s+(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}{_ENDING}\b))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))"

@@ -142,6 +142,11 @@ def test_gated_and_ungated_spans_are_equal(text):
     assert set(pii.all_spans(text)[1]) == ungated(text)
 
 
+@pytest.mark.parametrize("text", [f"bob at mail dot firma dot {x}" for x in ("pl", "ru", "jp", "pt", "dev")] + ["τiκυ@ρι.ЅІЈ"])
+def test_country_endings_and_look_alikes(text):
+    assert pii.all_spans(f"to {text}, now") == ([], [("email", 3, 3 + len(text))])
+
+
 def test_linear_time():
     for text in (" " * 200_000 + "x [at] b", "1" * 300_000, "a@" * 100_000, "one " * 100_000, "1." * 100_000, "+" * 100_000, "ab at cd dot " * 20_000):
         pii.all_spans(text)
