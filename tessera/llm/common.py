@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +20,15 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a session on one machine (as in tests) gets a folder of its own; a cluster is told to set it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -52,3 +61,18 @@ def join_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "l
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def released(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` for a task, after which its worker, kept for later tasks, gives freed memory back."""
+
+    @wraps(run)
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU allocator's
+                trim(0)
+
+    return task

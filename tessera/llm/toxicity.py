@@ -2,15 +2,18 @@
 
 Features are the distinct character n-grams (ORDERS, lower-cased text, hashed to 2**BITS) of the
 whole text. Training: document frequencies by class are counted in a grouped aggregation over the
-labelled training rows; each feature gets r = log of the ratio of its smoothed class frequencies; the
-features that are most surely more frequent in toxic rows are kept; a logistic regression is then fitted on the kept
-features, each scaled by its r. Only training looks at labels, on at most ``train_rows`` rows (those with the
-smallest hashes of their ids, toxic ones first up to half), a documented bound. Scoring reads every
-text in one pass without a shuffle and sends the model with the task (BITS bound its size).
-
-Defined results: a null or empty text gets the score of a text without features; rows without a label,
-with null ids or labels never train; repeated rows are scored one by one; if one class or all labels
-are missing the score is the smoothed share of toxic rows; other columns are ignored.
+labelled training rows; each feature gets r = log of the ratio of its smoothed class frequencies; those
+whose frequencies differ by more than chance, in either direction, are kept, however many they are; a
+logistic regression is then fitted on them, each scaled by its r. Only training looks at labels, on about
+``train_rows`` rows (those of each class whose hashed ids fall below a threshold, half of them of each), a
+documented bound. Scoring reads every text in one pass without a shuffle and sends the model with the
+task (BITS bound its size).
+
+Defined results: a null or empty text gets the score of a text without features; a very long one is
+hashed in stretches that overlap, so that it has the features it has as a whole; rows without a label,
+with null ids or labels never train; an id with several labels is toxic if one of them is; repeated rows
+are scored one by one; if one class or all labels are missing the score is the smoothed share of toxic
+rows; other columns are kept, but for one of the name that the score is given, which it replaces.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import join_lookup, materialize, released
+
 BITS = 20
 ORDERS = (3, 4, 5, 6)
 TRAIN_ROWS = 16_000
-KEPT_FEATURES = 2_000
-#: Standard errors by which a kept feature is more frequent in toxic rows.
-EVIDENCE = 4.0
+#: Rows that have a kept feature, and standard errors by which its frequencies in the two classes differ.
+LEAST_ROWS, EVIDENCE = 3, 3.5
 THRESHOLD = 0.3
+HASHES = 1 << 40
 #: Characters hashed at once, so that memory doesn't grow with a text.
 CHUNK = 1 << 18
 
@@ -45,8 +50,8 @@ class Grams:
         self.last = np.zeros(1 << bits, dtype=np.int32)
 
     def hashed(self, text: str) -> np.ndarray:
-        """A hash for each place and order, repeats included."""
-        codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+        """A hash for each place and order of a stretch of text, repeats included."""
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
         out, h = [], codes * np.uint32(0x9E3779B1)
         for n in range(2, max(self.orders) + 1):
             if len(codes) < n:
@@ -59,11 +64,14 @@ class Grams:
 
     def of(self, text: str, among: np.ndarray | None = None) -> np.ndarray:
         """Distinct features; only those that ``among`` marks."""
-        found, step, lap = [], CHUNK, max(self.orders) - 1
-        for i in range(0, max(1, len(text)), step):
-            h = self.hashed(text[i : i + step + lap])
-            found.append(h if among is None else h[among[h]])
-        h = np.concatenate(found)
+        whole, lap = f" {text.lower()} ", max(self.orders) - 1
+        found = []
+        for i in range(0, max(1, len(whole) - lap), CHUNK):  # a stretch's last grams reach into the next
+            h = self.hashed(whole[i : i + CHUNK + lap])
+            found.append(self.distinct(h if among is None else h[among[h]]))
+        return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+    def distinct(self, h: np.ndarray) -> np.ndarray:
         places = np.arange(len(h), dtype=np.int32)
         self.last[h] = places
         return h[self.last[h] == places]
@@ -86,20 +94,28 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, ratios: np.n
     return w, b
 
 
+def kept(counted: DataFrame, n0: int, n1: int) -> DataFrame:
+    """Adds the log-count ratio ``r`` and its evidence ``z`` to features (f, n0, n1: rows of each class that have it), and keeps the evident ones."""
+    ratio = F.log((F.col("n1") + 1.0) / (n1 + 2.0)) - F.log((F.col("n0") + 1.0) / (n0 + 2.0))
+    common = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2.0)
+    z = (F.col("n1") / float(n1) - F.col("n0") / float(n0)) / F.sqrt(common * (1 - common) * (1 / n1 + 1 / n0))
+    return counted.withColumns({"r": ratio, "z": z}).filter((F.col("n0") + F.col("n1") >= LEAST_ROWS) & (F.abs("z") > EVIDENCE))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> dict:
     """A model: kept feature numbers, their weights and the bias."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    known = known.filter(~held_out(F.col("id"))).withColumn("h", F.xxhash64("id"))
-    half = train_rows // 2
-    share = known.groupBy().agg(F.sum("y").alias("n1"), F.count("*").alias("n")).first()
-    chosen = [r for y in (1, 0) for r in known.filter(F.col("y") == y).orderBy("h", "id").limit(half).select("id", "y").collect()]
-    n1 = sum(r["y"] for r in chosen)
-    n0 = len(chosen) - n1
+    known = known.filter(~held_out(F.col("id")))
+    all_rows = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
+    # below the threshold lie about half of train_rows of each class: no sort, and nothing is collected
+    share = {y: min(1.0, train_rows / 2 / n) for y, n in all_rows.items()}
+    below = F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * float(HASHES)
+    chosen = materialize(known.filter(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < below))
+    n1, n0 = (chosen.filter(F.col("y") == y).count() for y in (1, 0))
     if not n1 or not n0:
         return {"ids": np.zeros(0, dtype=np.int64), "weights": np.zeros(0), "bias": float(np.log((n1 + 1) / (n0 + 1)))}
-    spark = docs.sparkSession
-    picked = F.broadcast(spark.createDataFrame(pd.DataFrame([r.asDict() for r in chosen]), "id long, y int"))  # train_rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = join_lookup(rows, chosen, ["id"], "inner")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, counts = Grams(), np.zeros((2, 1 << BITS), dtype=np.int32)
@@ -109,11 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = np.flatnonzero(counts.sum(0))
         yield pd.DataFrame({"f": some, "n0": counts[0, some], "n1": counts[1, some]})
 
-    counted = rows.mapInPandas(count, "f int, n0 int, n1 int").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    ratio = F.log((F.col("n1") + 1.0) / (n1 + 2.0)) - F.log((F.col("n0") + 1.0) / (n0 + 2.0))
-    common = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2.0)
-    strength = (F.col("n1") / float(n1) - F.col("n0") / float(n0)) / F.sqrt(common * (1 - common) * (1 / n1 + 1 / n0))
-    best = counted.withColumns({"r": ratio, "z": strength}).filter((F.col("n0") + F.col("n1") >= 3) & (F.col("z") > EVIDENCE)).orderBy(F.desc("z"), "f").limit(KEPT_FEATURES).select("f", "r").toPandas().sort_values("f")
+    counted = rows.mapInPandas(released(count), "f int, n0 int, n1 int").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    best = kept(counted, n0, n1).select("f", "r").toPandas().sort_values("f")
     ids, ratios = best["f"].to_numpy(), best["r"].to_numpy()
     number = np.full(1 << BITS, -1, dtype=np.int32)
     number[ids] = np.arange(len(ids))
@@ -123,10 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "f": [number[grams.of(t, among)].astype("<i4").tobytes() for t in batch["text"]]})
 
-    got = rows.mapInPandas(keep, "id long, y int, f binary").toPandas().sort_values("id")
+    got = rows.mapInPandas(released(keep), "id long, y int, f binary").toPandas().sort_values("id")
     w, b = fit_logistic([np.frombuffer(x, dtype="<i4") for x in got["f"]], got["y"].to_numpy().astype(float), len(ids), ratios)
     # the sample holds more toxic rows than the labels do: shift the odds back
-    shift = np.log(share["n1"] / (share["n"] - share["n1"])) - np.log(n1 / n0)
+    shift = np.log(all_rows[1] / all_rows[0]) - np.log(n1 / n0)
     return {"ids": ids, "weights": w * ratios, "bias": b + float(shift)}
 
 
