@@ -1,17 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Sources get targets by weight, held at a multiple of their size. Target over size is a source's expected
-number of copies: its whole part is taken of every document for certain, and the fraction is the
-inclusion probability of one more copy. Documents are ranked by random odds over inclusion odds
-(Pareto order sampling) and taken in that order until the source's remaining words are reached.
+Sources get targets by weight, held at a multiple of their size. A document's expected number of copies is
+its source's scale times a weight of its own, at most the ceiling: by default the square root of its size,
+taken at the power of two below, so that long documents are taken more often, but not in proportion. The
+scale is such that the expected words of a source are its target. The whole part of a document's expected
+copies is taken for certain; the fraction is its inclusion probability for one more. Documents are ranked
+by random odds over inclusion odds (Pareto order sampling) and taken in that order until the source's
+remaining words are reached: the sample's size in words is fixed, and the probabilities are unequal.
 
 The place where a source's order is cut is found by two grouped histograms of the rank and then by the
 few rows of one fine cell, so a source may hold any share of all rows: nothing sorts or collects a source.
 Random numbers are hashes of the id, so reruns agree. All main-path work is DataFrame functions.
 
-Defined results: null texts have size 0; a null source is a source, the last in order; rows with equal
-ids share a rank and are taken together; sources without words have target 0; an empty table gives no
-rows; other columns are kept (names of the added ones, if there, are replaced).
+Defined results: null texts have size 0; documents without words weigh as those of one word; a null source
+is a source, the last in order; rows that repeat an id and text share a rank and are taken together;
+sources without words have target 0; an empty table gives no rows; a very long text is one row like any
+other; other columns are kept (names of the added ones, if there, are replaced).
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CEILING = 2.0
 SEED = 20_240_521
+#: A document's weight is its size to this power.
+POWER = 0.5
 #: Cells of a histogram; two of them make CELLS ** 2 fine cells.
 CELLS = 4096
 
@@ -66,9 +72,36 @@ def targets(sources: DataFrame, column: str, weights: tuple[int, ...] = WEIGHTS,
     return materialize(known.withColumn("target", F.least("most", F.col("weight") * level)).drop("most", "weight", "position"))
 
 
-def odds_rank(id_: Column, probability: Column) -> Column:
+def class_of(size: Column) -> Column:
+    """Documents of sizes up to the next power of two weigh the same."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
+
+
+def expected_copies(scale: Column, size_class: Column, power: float, ceiling: float) -> Column:
+    return F.least(scale * F.pow(F.lit(2.0), size_class * power), F.lit(float(ceiling)))
+
+
+def scales(classes: DataFrame, aims: DataFrame, power: float, ceiling: float) -> DataFrame:
+    """Each source's ``scale``, at which its expected words are its target.
+
+    ``classes`` has a source's words by size class, few rows. If the classes above one are at the ceiling,
+    those up to it share what is left; the highest class that then stays at or below the ceiling tells the scale.
+    """
+    weight = F.pow(F.lit(2.0), F.col("class") * power)
+    above = Window.partitionBy("source").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    held, rest = F.coalesce(F.sum("size").over(above), F.lit(0)) * ceiling, F.sum(weight * F.col("size")).over(upto)
+    rows = join_lookup(classes, aims.select("source", "target"), ["source"]).withColumns({"scale": (F.col("target") - held) / F.when(rest > 0, rest), "weight": weight})
+    fits = rows.filter(F.col("scale") * F.col("weight") <= ceiling)
+    found = fits.groupBy("source").agg(F.max_by("scale", "class").alias("scale"))
+    # none fits where the target is the ceiling of all documents
+    full = F.when(F.col("target") > 0, F.lit(float("inf"))).otherwise(0.0)
+    return join_lookup(aims, materialize(found), ["source"]).withColumn("scale", F.greatest(F.coalesce("scale", full), F.lit(0.0)))
+
+
+def odds_rank(id_: Column, probability: Column, seed: int = SEED) -> Column:
     """Random odds over inclusion odds, mapped to 0 to 1 in the same order."""
-    u = (F.shiftrightunsigned(F.xxhash64(id_, F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(id_, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     q = (u / (1 - u)) / (probability / (1 - probability))
     return q / (1 + q)
 
@@ -85,14 +118,18 @@ def crossing(found: DataFrame, by: str) -> DataFrame:
     return first.groupBy("source").agg(F.min_by(F.struct(F.col(by).alias("at"), (F.col("until") - F.col("size")).alias("before")), by).alias("cut")).select("source", "cut.*")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """A row for each source: its size and target, its certain copies, and where its order is cut."""
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
-    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source", weights, share, ceiling)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    aims = aims.withColumn("certain", F.floor(ratio).cast("long")).withColumn("fraction", ratio - F.col("certain")).withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
-    aims = materialize(aims)
-    open_ = join_lookup(sized, aims, ["source"]).filter("fraction > 0").withColumn("rank", odds_rank(F.col("id"), F.col("fraction"))).withColumn("cell", cell_of(F.col("rank"))).withColumn("coarse", F.floor(F.col("cell") / CELLS))
+def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, power: float = POWER, seed: int = SEED) -> DataFrame:
+    """A row for each source: its size and target, its scale, and where its order is cut."""
+    size = words(F.col(text_col))
+    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    classes = materialize(sized.groupBy("source", class_of(F.col("size")).alias("class")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    aims = targets(classes.groupBy("source").agg(F.sum("size").alias("source_size")), "source", weights, share, ceiling)
+    aims = materialize(scales(classes, aims, power, ceiling))
+    copies = expected_copies(F.col("scale"), F.col("class"), power, ceiling)
+    certain = join_lookup(classes, aims, ["source"]).groupBy("source").agg(F.sum(F.floor(copies) * F.col("size")).alias("certain"))
+    aims = materialize(join_lookup(aims, materialize(certain), ["source"]).withColumn("left", F.col("target") - F.col("certain")))
+    rows = join_lookup(sized, aims, ["source"]).withColumn("copies", expected_copies(F.col("scale"), class_of(F.col("size")), power, ceiling))
+    open_ = rows.withColumn("fraction", F.col("copies") - F.floor("copies")).filter("fraction > 0").withColumn("rank", odds_rank(F.col("id"), F.col("fraction"), seed)).withColumn("cell", cell_of(F.col("rank"))).withColumn("coarse", F.floor(F.col("cell") / CELLS))
     first = materialize(crossing(open_, "coarse").withColumnsRenamed({"at": "coarse_at", "before": "before1"}))
     inside = materialize(join_lookup(open_, first, ["source"], "inner").filter("coarse = coarse_at").withColumn("left", F.col("left") - F.col("before1")).select("source", "id", "size", "rank", "cell", "left"))
     second = materialize(crossing(inside, "cell").withColumnsRenamed({"at": "cell_at", "before": "before2"}))
@@ -103,20 +140,22 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     return materialize(join_lookup(join_lookup(aims, second.drop("before2"), ["source"]), final, ["source"]))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", prefix: str = "", **options) -> DataFrame:
-    """``docs`` with source_size, target and copies (0, 1, 2, ...) of each row, their names after ``prefix``.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "", ceiling: float = CEILING, power: float = POWER, seed: int = SEED, **options) -> DataFrame:
+    """``docs`` with size, source_size, target, expected and copies (0, 1, 2, ...) of each row, their names after ``prefix``.
 
     The texts are not shuffled: a source's row of the plan says which of its documents are taken.
     """
-    cuts = plan(docs, id_col, source_col, **options)
+    cuts = plan(docs, id_col, source_col, text_col, ceiling=ceiling, power=power, seed=seed, **options)
     there = {c: f"__{c}" for c in cuts.columns if c != "source"}
-    rows = join_lookup(docs, cuts.withColumnsRenamed(there | {"source": source_col}), [source_col])
-    rank = odds_rank(F.col(id_col), F.col("__fraction"))
+    rows = join_lookup(docs, cuts.withColumnsRenamed(there | {"source": source_col}), [source_col]).withColumn("__size", words(F.col(text_col)))
+    rows = rows.withColumn("__copies", expected_copies(F.col("__scale"), class_of(F.col("__size")), power, ceiling))
+    fraction = F.col("__copies") - F.floor("__copies")
+    rank = odds_rank(F.col(id_col), fraction, seed)
     cell, at = cell_of(rank), F.col("__cell_at")
     chosen = at.isNull() | (cell < at) | (cell == at) & F.coalesce(rank <= F.col("__rank_at"), F.lit(False))
-    extra = F.when((F.col("__fraction") > 0) & (F.col("__left") > 0), chosen.cast("long")).otherwise(0)
-    added = {f"{prefix}source_size": F.col("__source_size"), f"{prefix}target": F.col("__target"), f"{prefix}copies": F.col("__certain") + extra}
-    return rows.withColumns(added).drop(*there.values())
+    extra = F.when((fraction > 0) & (F.col("__left") > 0), chosen.cast("long")).otherwise(0)
+    added = {f"{prefix}size": F.col("__size"), f"{prefix}source_size": F.col("__source_size"), f"{prefix}target": F.col("__target"), f"{prefix}expected": F.col("__copies"), f"{prefix}copies": F.floor("__copies") + extra}
+    return rows.withColumns(added).drop(*there.values(), "__size", "__copies")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:

@@ -3,7 +3,7 @@
 Reciprocal-capacity classes: class k holds pieces of exactly ``capacity // k`` tokens, and a bin of
 class k takes k of them. A document is cut into such pieces, largest first; what is left (shorter than
 ``capacity // MAX_CLASS``) belongs to the last class. Every worker fills its own bins, so there is no
-shuffle and memory is bounded by one open bin for each class. When a worker has read its input, the
+shuffle and memory is bounded by one open bin for each class and one document's ids. When a worker has read its input, the
 pieces of its open bins are laid end to end and cut at the capacity; the last, shorter stretch is cut
 at powers of two, which need no padding.
 
@@ -17,7 +17,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released
+
 CAPACITY = 4096
 END_ID = 2
 #: Classes 1 to MAX_CLASS have pieces of one length each.
 MAX_CLASS = 64
-#: Distinct pieces whose ids a worker remembers before it starts afresh.
-PIECE_CACHE = 600_000
+#: Distinct pieces whose ids a worker remembers, in two halves of some 10 MB each: when the younger is full it takes the older's place.
+PIECE_CACHE = 100_000
 #: Characters encoded together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -58,7 +59,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Tokenizer(self.tokenizer.model)
         self.pieces.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
@@ -82,14 +84,24 @@ class Encoder:
     def simple(self, text: str) -> bool:
         return (text.isascii() or not self.OTHER.search(text)) and not any(x in text for x in self.special)
 
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as bytes."""
+        if len(self.young) + len(pieces) > PIECE_CACHE // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = [x for x in pieces if x not in young]
+        young.update((x, old[x]) for x in new if x in old)
+        self.learn([x for x in new if x not in old])
+        return [young[x] for x in pieces]
+
     def learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 2000):
             some = pieces[i : i + 2000]
             spelled = [x if x.isascii() and x.isalnum() else x.encode().decode("latin-1").translate(self.alphabet) for x in some]
-            got = np.array(self.pieces.encode_batch_fast(["\n".join(spelled)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            got = np.array(self.pieces.encode_batch_fast(["\n".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
             until = np.flatnonzero(self.last[got]) + 1  # each piece's last id is one that ends a word
             for x, ids in zip(some, np.split(got, until[:-1]), strict=True):
-                self.cache[x] = tuple(ids.tolist())
+                self.young[x] = ids.tobytes()
 
     def split(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the pieces of a lower-cased simple text."""
@@ -125,13 +137,9 @@ class Encoder:
         first = np.empty(len(unique), dtype=np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         pieces = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.cache) + len(pieces) > PIECE_CACHE:
-            self.cache.clear()
-        cache = self.cache
-        self.learn([x for x in pieces if x not in cache])
-        ids = [cache[x] for x in pieces]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(sizes.sum()))
+        ids = self.known(pieces)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
         own = sizes[code]
         until = np.cumsum(own)
         shift = (np.cumsum(sizes) - sizes)[code] - (until - own)
@@ -275,11 +283,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for doc, tokens in zip(batch["doc_id"].tolist(), encoder(tokenizer_path).encode(batch["text"].tolist()), strict=True):
                 start = 0
                 for kind, n in cut(len(tokens), capacity):
-                    bins.add(kind, (doc, start, tokens[start : start + n], len(tokens)))
+                    bins.add(kind, (doc, start, tokens[start : start + n].copy(), len(tokens)))  # a view would keep the document's ids
                     start += n
             yield rows()
         bins.finish()
         yield rows()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, SCHEMA)
+    return rows.mapInPandas(released(run), SCHEMA)

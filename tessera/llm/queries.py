@@ -30,8 +30,7 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs).withColumn("size", mixing.words(F.col("text")))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "expected")
 
 
 def op4_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:

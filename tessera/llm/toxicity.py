@@ -29,9 +29,10 @@ from tessera.llm.common import join_lookup, materialize, released
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
-TRAIN_ROWS = 16_000
-#: Rows that have a kept feature, and standard errors by which its frequencies in the two classes differ.
-LEAST_ROWS, EVIDENCE = 3, 3.5
+TRAIN_ROWS = 8_000
+#: Rows that have a kept feature at least, and standard errors by which its frequencies in the two classes differ:
+#: so many that of 2**BITS features without any relation to the labels less than one is kept.
+LEAST_ROWS, EVIDENCE = 3, 5.0
 THRESHOLD = 0.3
 HASHES = 1 << 40
 #: Characters hashed at once, so that memory doesn't grow with a text.
@@ -77,11 +78,11 @@ class Grams:
         return h[self.last[h] == places]
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, ratios: np.ndarray, l2: float = 3.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, ratios: np.ndarray, l2: float = 3.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights of sparse 0/1 rows, each feature scaled by its ratio; full-batch Adam."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.concatenate(rows) if len(at) else np.zeros(0, dtype=np.int64)
-    value = ratios[feature]
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    feature = np.concatenate(rows) if len(at) else np.zeros(0, dtype=np.int32)
+    value = ratios[feature].astype(np.float32)
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):

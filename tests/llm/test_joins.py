@@ -140,7 +140,7 @@ def test_mix(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 80))), "en", rng.choice(["b", "é", "Z", "a", None] + ["hot"] * 6)) for i in range(3000)]
     docs = documents(spark, rows)
-    got = mixing.mix(docs.drop("target", "copies")).collect()
+    got = mixing.mix(docs.drop("target", "copies").withColumn("u", mixing.odds_rank(F.col("doc_id"), F.lit(0.5)))).collect()
     sizes = Counter()
     for _, t, _, s in rows:
         sizes[s] += len(t.split())
@@ -153,6 +153,57 @@ def test_mix(spark):
     assert all(abs(taken[s] - aims[s]) <= 40 for s in aims)  # half of the longest document
     again = {r.doc_id: r.copies for r in mixing.mix(docs.drop("target", "copies").repartition(7)).collect()}
     assert again == {r.doc_id: r.copies for r in got}
+    assert {r.doc_id: r.copies for r in got} == plain_mix([(r.doc_id, r.source, len(r.text.split()), r.u) for r in got], aims)
+    # within a source long documents are expected more often, and each size as often as it is taken
+    for s in aims:
+        own = [r for r in got if r.source == s and r.size]
+        assert sum(r.expected * r.size for r in own) == pytest.approx(aims[s])
+        assert max(r.expected for r in own) <= 2 and (len({r.expected for r in own}) > 2 or aims[s] == pytest.approx(2 * sizes[s]))
+        assert sorted(r.expected for r in own) == [r.expected for r in sorted(own, key=lambda r: (int(np.log2(r.size)), r.expected))]
+    hot = [r for r in got if r.source == "hot" and 0.1 < r.expected < 1.9]
+    for e in {r.expected for r in hot}:
+        own = [r.copies for r in hot if r.expected == e]
+        assert abs(np.mean(own) - e) < 4 * 0.5 / len(own) ** 0.5
+
+
+def plain_mix(rows, aims):
+    """id to copies: a scale by bisection, then Pareto order sampling in one sorted list for each source."""
+    out = {}
+    for source, aim in aims.items():
+        own = [(i, n, u, 2.0 ** (int(np.log2(max(n, 1))) * 0.5)) for i, s, n, u in rows if s == source]
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            scale = (low + high) / 2
+            low, high = (scale, high) if sum(min(2.0, scale * w) * n for _, n, _, w in own) < aim else (low, scale)
+        left, ranked = aim, []
+        for i, n, u, w in own:
+            copies = min(2.0, high * w)
+            copies = round(copies) if abs(copies - round(copies)) < 1e-9 else copies
+            out[i] = int(copies)
+            left -= n * out[i]
+            if p := copies - out[i]:
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), i, n))
+        at = 0
+        for _, i, n in sorted(ranked):
+            if at + n / 2 > left:
+                break
+            at += n
+            out[i] += 1
+    return out
+
+
+def test_inclusion_frequencies(spark):
+    rng = random.Random(8)
+    docs = documents(spark, [(i, " ".join("w" * 1 for _ in range(rng.choice((1, 4, 20, 90)))), "en", rng.choice("aabc")) for i in range(1500)])
+    taken, expected = Counter(), {}
+    for seed in range(3):
+        for r in mixing.mix(docs.drop("target", "copies"), seed=seed).collect():
+            taken[r.source, r.size] += r.copies
+            expected.setdefault((r.source, r.size), {})[r.doc_id] = r.expected
+    assert len(expected) == 12
+    for key, own in expected.items():
+        each = next(iter(own.values()))
+        assert abs(taken[key] / 3 / len(own) - each) < 5 * 0.5 / (3 * len(own)) ** 0.5 + 0.01
 
 
 def test_mix_takes_in_order_of_rank(spark):
@@ -174,51 +225,84 @@ def test_mix_odd(spark, odd_documents, no_documents):
 
 
 def brute_top(vectors, k):
+    """vectors: (id, components) of all rows; the queries are those with ids divisible by 20, each once."""
     out = []
-    for q, a in vectors.items():
-        if q % 20 == 0:
-            scores = sorted(((-int(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in vectors.items() if i != q and len(a) == len(b)))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for q, a in {(q, tuple(a)) for q, a in vectors if q % 20 == 0}:
+        scores = sorted((-int(sum(int(x) * int(y) for x, y in zip(a, b, strict=True))), i) for i, b in vectors if i != q and len(a) == len(b))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 64)
-    monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 400)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(400)] + [(1000 + i, [0.5] * 6) for i in range(50)]
+    rows += rows[3:6] * 2  # repeated rows are candidates of their own
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
-    want = brute_top({i: [int(np.floor(64 * np.float64(np.float32(x)))) for x in v] for i, v in rows}, 20)
+    want = brute_top([(i, [int(np.floor(64 * np.float64(np.float32(x)))) for x in v]) for i, v in rows], 20)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
 
 
+def searched(rows, k, queries=7):
+    """(query number, candidate, score) sorted, and the share of list entries read."""
+    ids = np.arange(len(rows))
+    q = rows[:queries]
+    a, b, s, entries = topk.no_random_access(q, ids[: len(q)], topk.Lists(rows, ids), k)
+    return sorted(zip(a.tolist(), b.tolist(), s.astype(int).tolist(), strict=True)), entries / (len(q) * rows.size)
+
+
+def all_pairs(rows, k, queries=7):
+    scores, out = rows[:queries] @ rows.T, []
+    for i, own in enumerate(scores):
+        out += [(i, j, int(-s)) for s, j in sorted((-s, j) for j, s in enumerate(own) if j != i)[:k]]
+    return sorted(out)
+
+
 def test_top_k_stops_early_and_is_exact():
     rng = np.random.default_rng(4)
-    for shape in ((3000, 3), (500, 64), (30, 5), (1, 2)):
-        rows = np.floor(rng.normal(size=shape) ** 3 * 20)
-        q, ids = rows[:7], np.arange(len(rows))
-        a, b, s = topk.no_random_access(q, ids[: len(q)], rows, ids, 5)
-        want = brute_top({int(i): rows[i].tolist() for i in ids}, 5)
-        assert sorted((int(x), int(y), int(z)) for x, y, z in zip(a, b, s, strict=True) if x == 0) == sorted((q_, i, v) for q_, _, i, v in want if q_ == 0)
+    for shape in ((3000, 3), (500, 64), (30, 5), (1, 2), (2000, 1)):
+        for rows in (np.floor(rng.normal(size=shape) ** 3 * 20), rng.integers(-2, 3, shape).astype(float), np.zeros(shape)):
+            assert searched(rows, 5)[0] == all_pairs(rows, 5)
+    # a few rows far ahead in a few dimensions: outsiders cannot qualify after short heads of the lists
+    skewed = np.floor(rng.standard_cauchy((8000, 12)) * 20)
+    found, share = searched(skewed, 10, 60)
+    assert found == all_pairs(skewed, 10, 60) and share < 0.3
+    # nothing of the kind: the lists are read to their ends, once
+    even = np.floor(rng.normal(size=(4000, 64)) * 8)
+    found, share = searched(even, 20)
+    assert found == all_pairs(even, 20) and share <= 1
 
 
 def test_bounds_hold_at_every_depth():
     rng = np.random.default_rng(7)
     rows, q = np.floor(rng.normal(size=(200, 8)) * 30), np.floor(rng.normal(size=(9, 8)) * 30)
-    lists, exact = np.sort(rows, axis=0), q @ rows.T
-    for depth in (1, 10, 100, 199, 200):
-        lower, upper = topk.bounds(q, rows, lists, depth)
-        assert (lower <= exact).all() and (exact <= upper).all()
+    lists, exact = topk.Lists(rows, np.arange(200)), q @ rows.T
+    for n, depth in enumerate(lists.depths):
+        for i, most in enumerate(lists.outsiders(q)[:, n]):
+            seen = set(lists.read(q[i], int(depth), -np.inf, 10**6, -1).tolist())
+            assert all(exact[i, j] <= most for j in range(200) if j not in seen)
+            # with the k-th best score as bound no one of the best k is lost
+            top = np.sort(exact[i])[-5]
+            if most < top:
+                assert set(np.flatnonzero(exact[i] >= top)) <= set(lists.read(q[i], int(depth), top, 5, -1).tolist())
+
+
+def test_scores_of_any_size_sort():
+    rng = random.Random(3)
+    scores = [rng.choice((-1, 1)) * rng.getrandbits(rng.choice((3, 40, 61, 62, 63, 64, 65, 120, 131))) for _ in range(400)] + [0, 2**62, -(2**62), 2**63, -(2**63)]
+    key = lambda s: (lambda size, digits, near: (size, digits or b"", near))(*topk.sortable(s))
+    assert [key(s) for s in sorted(scores)] == sorted(map(key, scores))
 
 
 def test_top_k_odd(spark):
     big = [3e9, -3e9]
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (None, [1.0, 1.0]), (6, [1.0]), (20, [1.0, 2.0]), (40, big), (60, big)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("vector", F.lit("x")).withColumn("score", F.lit(1))
-    got = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=2).collect()
-    want = brute_top({i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i in (0, 20, 40, 60)}, 2)
-    small = lambda rows_: [r for r in rows_ if abs(r[3]) < 2**62]
-    assert small(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)) == small(want)
+    rows += [(80, [1e17, 1.0]), (81, [1e17, 3e17]), (82, [-2e17, 5.0]), (83, [1e300, 1.0]), (100, np.linspace(-1, 1, 5000).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"vector": F.lit("x"), "score": F.lit(1), "id": F.lit(2), "spot": F.lit(3), "query": F.lit(4)})
+    got = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=3).collect()
+    fine = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = [(q, n, i, min(max(s, -(2**63)), 2**63 - 1)) for q, n, i, s in brute_top(fine, 3)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
