@@ -43,13 +43,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join a materialised lookup (unique on ``keys``), broadcast only while its counted size is small.
+def is_small(lookup: DataFrame) -> bool:
+    return lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def join_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", small: bool | None = None) -> DataFrame:
+    """Join a materialised lookup (unique on ``keys``), broadcast only while its size is small: counted here, or by the caller.
 
     Keys compare null-safely. Beyond ``BROADCAST_ROWS`` it is a sort-merge join, whose hot keys
     AQE splits (the lookup is read from a file, so both sides are plain shuffles).
     """
-    small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = is_small(lookup) if small is None else small
     right = lookup.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in lookup.columns if c not in keys])
     on = None
     for k in keys:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import join_lookup, materialize
+from tessera.llm.common import is_small, join_lookup, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -81,7 +81,7 @@ def expected_copies(scale: Column, size_class: Column, power: float, ceiling: fl
     return F.least(scale * F.pow(F.lit(2.0), size_class * power), F.lit(float(ceiling)))
 
 
-def scales(classes: DataFrame, aims: DataFrame, power: float, ceiling: float) -> DataFrame:
+def scales(classes: DataFrame, aims: DataFrame, power: float, ceiling: float, few: bool) -> DataFrame:
     """Each source's ``scale``, at which its expected words are its target.
 
     ``classes`` has a source's words by size class, few rows. If the classes above one are at the ceiling,
@@ -91,12 +91,12 @@ def scales(classes: DataFrame, aims: DataFrame, power: float, ceiling: float) ->
     above = Window.partitionBy("source").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     held, rest = F.coalesce(F.sum("size").over(above), F.lit(0)) * ceiling, F.sum(weight * F.col("size")).over(upto)
-    rows = join_lookup(classes, aims.select("source", "target"), ["source"]).withColumns({"scale": (F.col("target") - held) / F.when(rest > 0, rest), "weight": weight})
+    rows = join_lookup(classes, aims.select("source", "target"), ["source"], small=few).withColumns({"scale": (F.col("target") - held) / F.when(rest > 0, rest), "weight": weight})
     fits = rows.filter(F.col("scale") * F.col("weight") <= ceiling)
     found = fits.groupBy("source").agg(F.max_by("scale", "class").alias("scale"))
     # none fits where the target is the ceiling of all documents
     full = F.when(F.col("target") > 0, F.lit(float("inf"))).otherwise(0.0)
-    return join_lookup(aims, materialize(found), ["source"]).withColumn("scale", F.greatest(F.coalesce("scale", full), F.lit(0.0)))
+    return join_lookup(aims, found, ["source"], small=few).withColumn("scale", F.greatest(F.coalesce("scale", full), F.lit(0.0)))
 
 
 def odds_rank(id_: Column, probability: Column, seed: int = SEED) -> Column:
@@ -124,20 +124,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
     classes = materialize(sized.groupBy("source", class_of(F.col("size")).alias("class")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
     aims = targets(classes.groupBy("source").agg(F.sum("size").alias("source_size")), "source", weights, share, ceiling)
-    aims = materialize(scales(classes, aims, power, ceiling))
+    few = is_small(aims)  # as every table of a row for each source is
+    aims = materialize(scales(classes, aims, power, ceiling, few))
     copies = expected_copies(F.col("scale"), F.col("class"), power, ceiling)
-    certain = join_lookup(classes, aims, ["source"]).groupBy("source").agg(F.sum(F.floor(copies) * F.col("size")).alias("certain"))
-    aims = materialize(join_lookup(aims, materialize(certain), ["source"]).withColumn("left", F.col("target") - F.col("certain")))
-    rows = join_lookup(sized, aims, ["source"]).withColumn("copies", expected_copies(F.col("scale"), class_of(F.col("size")), power, ceiling))
+    certain = join_lookup(classes, aims, ["source"], small=few).groupBy("source").agg(F.sum(F.floor(copies) * F.col("size")).alias("certain"))
+    aims = materialize(join_lookup(aims, certain, ["source"], small=few).withColumn("left", F.col("target") - F.col("certain")))
+    rows = join_lookup(sized, aims, ["source"], small=few).withColumn("copies", expected_copies(F.col("scale"), class_of(F.col("size")), power, ceiling))
     open_ = rows.withColumn("fraction", F.col("copies") - F.floor("copies")).filter("fraction > 0").withColumn("rank", odds_rank(F.col("id"), F.col("fraction"), seed)).withColumn("cell", cell_of(F.col("rank"))).withColumn("coarse", F.floor(F.col("cell") / CELLS))
     first = materialize(crossing(open_, "coarse").withColumnsRenamed({"at": "coarse_at", "before": "before1"}))
-    inside = materialize(join_lookup(open_, first, ["source"], "inner").filter("coarse = coarse_at").withColumn("left", F.col("left") - F.col("before1")).select("source", "id", "size", "rank", "cell", "left"))
+    inside = materialize(join_lookup(open_, first, ["source"], "inner", small=few).filter("coarse = coarse_at").withColumn("left", F.col("left") - F.col("before1")).select("source", "id", "size", "rank", "cell", "left"))
     second = materialize(crossing(inside, "cell").withColumnsRenamed({"at": "cell_at", "before": "before2"}))
     # the rows of one fine cell: those ranked so that their middle word is within what remains
-    last = join_lookup(inside, second, ["source"], "inner").filter("cell = cell_at").groupBy("source", "rank", "left", "before2").agg(F.sum("size").alias("size"))
+    last = join_lookup(inside, second, ["source"], "inner", small=few).filter("cell = cell_at").groupBy("source", "rank", "left", "before2").agg(F.sum("size").alias("size"))
     until = F.sum("size").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     final = materialize(last.withColumn("until", until).filter("before2 + until - size / 2.0 <= left").groupBy("source").agg(F.max("rank").alias("rank_at")))
-    return materialize(join_lookup(join_lookup(aims, second.drop("before2"), ["source"]), final, ["source"]))
+    return materialize(join_lookup(join_lookup(aims, second.drop("before2"), ["source"], small=few), final, ["source"], small=few))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "", ceiling: float = CEILING, power: float = POWER, seed: int = SEED, **options) -> DataFrame:
