@@ -13,13 +13,15 @@ an article excludes it only if the text outside such names is no less than each
 article has such a name as well. Where tags, roles and names would exclude all blocks of a page, its texts decide.
 
 Defined results: null and empty pages give an empty text; markup that is broken off ends the page
-there; a page's text is read whole; repeated rows give repeated results; other columns are kept.
+there; a page's text is read whole, of any length, in time in proportion to it; repeated rows give repeated
+results; other columns are kept, but for one named as the result is, which it replaces.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -139,8 +141,16 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order, empty ones left out."""
     out: list[Block] = []
     stack: list[Element] = []
+    opened: Counter[str] = Counter()  # of the stack's tags, so that no end tag searches it in vain
     at, number, block = 0, 0, Block(False, 0)
 
+    def close(place: int) -> bool:
+        """End the elements from a place of the stack; whether one of them was a block."""
+        gone = [e.tag for e in stack[place:]]
+        opened.subtract(gone)
+        del stack[place:]
+        return not BLOCK_TAGS.isdisjoint(gone)
+
     def text(piece: str) -> None:
         if piece:
             block.pieces.append(piece)
@@ -173,15 +183,13 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 text(" ")
             elif closing:
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-                if place >= 0:
-                    hit = any(e.tag in BLOCK_TAGS for e in stack[place:])
-                    if tag not in BLOCK_TAGS and hit:
-                        continue  # an inline end tag does not close blocks
-                    cut = split if hit else None
-                    del stack[place:]
-                    if cut:
-                        cut()
+                if opened[tag] > 0:
+                    place = len(stack) - 1
+                    while stack[place].tag != tag and (tag in BLOCK_TAGS or stack[place].tag not in BLOCK_TAGS):
+                        place -= 1
+                    # an inline end tag does not close blocks
+                    if stack[place].tag == tag and close(place):
+                        split()
                 elif tag in BLOCK_TAGS:
                     split()
             elif tag in RAW_TAGS and not m[3].endswith("/"):
@@ -196,14 +204,15 @@ def blocks(page: str) -> list[Block]:
                     # a block start ends an open paragraph; an item ends its open sibling
                     ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
                     walls = ("ul", "ol", "dl", "table", "article", "section", "div", "main", "body")
-                    for i in range(len(stack) - 1, -1, -1):
+                    for i in range(len(stack) - 1, -1, -1) if any(opened[x] > 0 for x in ("p", *ends)) else ():
                         if stack[i].tag == "p" or stack[i].tag in ends:
-                            del stack[i:]
+                            close(i)
                             break
                         if stack[i].tag in walls:
                             break
                 number += 1
                 stack.append(describe(tag, m[3], stack[-1] if stack else None, number))
+                opened[tag] += 1
                 if tag in BLOCK_TAGS:
                     split()
         else:

@@ -52,11 +52,12 @@ class Packet(NamedTuple):
 
 
 class Packets(NamedTuple):
-    """A file's packets as columns, its cues as (time in ns, track, byte place of a cluster)."""
+    """A file's packets as columns, its cues as (time in ns, track, byte place of a cluster), and where clusters' bodies and elements start."""
 
     table: dict[str, np.ndarray]
     cues: list[tuple[int, int, int]]
     clusters: list[int]
+    heads: list[int]
 
 
 # ---------------------------------------------------------------- writing
@@ -134,9 +135,10 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int
 TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, EBML}
 
 
-def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(id, start and end of the body, whether the size was known) of the elements in a stretch."""
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(id, start and end of the body, start of the element) of the elements in a stretch."""
     while at < end:
+        start = at
         try:
             kind, at = read_vint(data, at, True)
             size, body = read_vint(data, at)
@@ -149,7 +151,7 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, bo
                 if child in TOP:
                     break
                 stop = b
-        yield kind, body, stop, size >= 0
+        yield kind, body, stop, start
         at = stop
 
 
@@ -188,11 +190,11 @@ def unlace(data: bytes, at: int, end: int, how: int) -> tuple[np.ndarray, np.nda
 
 def parse(data: bytes) -> Packets:
     """The packet table of a file."""
-    scale, durations, cues, clusters, parts = 1_000_000, {}, [], [], []
+    scale, durations, cues, clusters, heads, parts = 1_000_000, {}, [], [], [], []
     for kind, a, b, _ in elements(data, 0, len(data)):
         if kind != SEGMENT:
             continue
-        for top, c, d, _ in elements(data, a, b):
+        for top, c, d, head in elements(data, a, b):
             if top == INFO:
                 scale = next((unsigned(data, x, y) for k, x, y, _ in elements(data, c, d) if k == TIMESTAMP_SCALE), scale)
             elif top == TRACKS:
@@ -211,6 +213,7 @@ def parse(data: bytes) -> Packets:
                                 cues.append((time * scale, own.get(CUE_TRACK, 0), a + own.get(CUE_CLUSTER, 0)))
             elif top == CLUSTER:
                 clusters.append(c)
+                heads.append(head)
                 start = 0
                 for k, x, y, _ in elements(data, c, d):
                     if k == CLUSTER_TIMESTAMP:
@@ -228,7 +231,7 @@ def parse(data: bytes) -> Packets:
                         times = (start + ticks) * scale + durations.get(track, 0) * np.arange(n)
                         parts.append((np.full(n, track), times, places, sizes, np.full(n, len(clusters) - 1), np.full(n, flags >> 1 & 3), np.full(n, k == BLOCK_GROUP or bool(flags & 0x80))))
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=np.int64)] * 7
-    return Packets(dict(zip(Packet._fields, columns, strict=True)), cues, clusters)
+    return Packets(dict(zip(Packet._fields, columns, strict=True)), cues, clusters, heads)
 
 
 def track_bytes(data: bytes, packets: Packets, track: int) -> bytes:
@@ -303,8 +306,7 @@ def packet_table(df: DataFrame, id_col: str, media_col: str = "media") -> DataFr
                 packets = parse(media)
                 out = pd.DataFrame(packets.table)
                 cued = {c[2] for c in packets.cues}
-                heads = [any(x in cued for x in range(max(0, c - 12), c)) for c in packets.clusters]
-                out["cued"] = [heads[c] for c in out["cluster"]]
+                out["cued"] = [packets.heads[c] in cued for c in out["cluster"]]
                 out.insert(0, id_col, own)
                 yield out
 

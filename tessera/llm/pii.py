@@ -6,7 +6,8 @@ at/dot disguises and runs of spelled digits. The same detectors run on the sourc
 text; what only the rewritten text shows is mapped back to source characters and added.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated results; texts of any
-length are read whole, in time in proportion to their length; other columns are kept.
+length are read whole, in time in proportion to their length, each held once with its rewritten form; other
+columns are kept, but for one named as the result is, which it replaces.
 """
 
 from __future__ import annotations
@@ -85,10 +86,27 @@ LOOKALIKES = dict(
 )
 INVISIBLE = set("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 SEPARATORS = {"\u3002": ".", "\u2024": ".", "\ufe52": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " "}
-SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "o": "0"}
-
-_DIGIT = "(?a:zero|one|two|three|four|five|six|seven|eight|nine)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
+# Spelled digits, signs and dots in English, German, Spanish and French.
+SPELLED = {
+    w: str(i)
+    for words in (
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+        "zéro un deux trois quatre cinq six sept huit neuf", "oh", "o", "_ _ zwo _ _ fuenf",
+    )
+    for i, w in enumerate(words.split())
+    if w != "_"
+}
+PLUS = ("plus", "más", "mas")
+DOTS = ("dot", "punkt", "punto", "point")
+
+_DIGIT = f"(?:{'|'.join(sorted((w for w in SPELLED if w not in ('o', 'oh')), key=len, reverse=True))})"
+_WORDED = "|".join(DOTS)
+_PLUS = "|".join(PLUS)
+_HOST = "[A-Za-z0-9-]+"
+_DOT = rf"(?:\s*[\[({{<]\s*(?:{_WORDED}|\.)\s*[\])}}>]\s*|\s+dot\s+)"
+#: Dots in words or among spaces that prose has too: they count within a disguised host only.
+_OWN = r"\s+(?:punkt|punto|point|\.)\s+"
+_ANY = rf"(?:{_DOT}|{_OWN}|\.)"
 # Endings by which a host in words ("at mail dot example dot com") is told from prose; all country codes.
 _COUNTRIES = (
     "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bl bm bn bo bq br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
@@ -98,16 +116,20 @@ _COUNTRIES = (
     "ua ug uk um us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
 ).split()
 _ENDING = f"(?:com|org|net|edu|gov|mil|int|info|biz|dev|app|example|test|invalid|{'|'.join(_COUNTRIES)})"
+_HOSTS = rf"{_HOST}(?:{_ANY}{_HOST})*?{_ANY}{_ENDING}\b"
 _RULES = re.compile(
-    rf"(?P<at>(?<!\s)\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*(?=[A-Za-z0-9-])|(?<!\s)\s+at\s+(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}{_ENDING}\b))"
+    rf"(?P<at>(?<!\s)\s*[\[({{<]\s*(?:at|@|ät|arroba|arobase?)\s*[\])}}>]\s*(?=(?P<host1>{_HOSTS})?[A-Za-z0-9-])"
+    rf"|(?<!\s)\s+(?:@|ät|arroba|arobase?)\s+(?=(?P<host2>{_HOSTS}))"
+    rf"|(?<!\s)\s+at\s+(?=(?P<host3>{_HOST}(?:(?:{_DOT}|\s+(?:punkt|punto)\s+){_HOST})*?(?:{_DOT}|\s+(?:punkt|punto)\s+){_ENDING}\b)))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))"
-    rf"|(?P<digits>\b(?:plus[\s,-]+)?{_DIGIT}(?:[\s,-]+(?:{_DIGIT}|(?a:oh|point|dot)))*[\s,-]+{_DIGIT}\b)",
+    rf"|(?P<own>(?<=[A-Za-z0-9]){_OWN}(?=[A-Za-z0-9]))"
+    rf"|(?P<digits>\b(?:(?:{_PLUS})[\s,-]+)?{_DIGIT}(?:[\s,-]+(?:{_DIGIT}|oh|{_WORDED}))*[\s,-]+{_DIGIT}\b)",
     re.I,
 )
-# One of these is in each text that a rule matches: a disguise in brackets, a dot in words, or a run's last digit.
-_BRACKETS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
-_LAST = re.compile(rf"[\s,-](?:dot\s|{_DIGIT}\b)", re.I)
-_WORD = re.compile(r"[a-z]+", re.I | re.A)
+# One of these is in each text that a rule changes: a disguise in brackets, a dot or at in words or among spaces, or a run's last digit.
+_BRACKETS = re.compile(rf"[\[({{<]\s*(?:at|@|ät|arroba|arobase?|{_WORDED}|\.)\s*[\])}}>]", re.I)
+_LAST = re.compile(rf"[\s,-](?:(?:{_WORDED})\s|{_DIGIT}\b)|\s(?:@|ät|arroba|arobase?)\s", re.I)
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 @cache
@@ -153,18 +175,21 @@ def words(text: str, places: list[int] | range, length: int) -> tuple[str, list[
         starts.append(places[a])
         ends.append(places[b - 1] + 1)
 
-    done = 0
+    done = host = 0
     for m in _RULES.finditer(text):
+        if m["own"] is not None and m.start() >= host:
+            continue  # prose
         copy(done, m.start())
         done = m.end()
         if m["at"] is not None:
             put("@", *m.span())
-        elif m["dot"] is not None:
+            host = max(m.end(x) for x in ("host1", "host2", "host3"))
+        elif m["dot"] is not None or m["own"] is not None:
             put(".", *m.span())
         else:
             for w in _WORD.finditer(m[0]):
                 word = w[0].lower()
-                put({"plus": "+", "point": ".", "dot": "."}.get(word) or SPELLED[word], m.start() + w.start(), m.start() + w.end())
+                put("+" if word in PLUS else "." if word in DOTS else SPELLED[word], m.start() + w.start(), m.start() + w.end())
     copy(done, len(text))
     return "".join(out), starts, ends
 

@@ -2,15 +2,18 @@
 
 ``write_archive`` writes records through Spark's own writer: responses with their payload and, for
 payloads seen elsewhere, revisits that refer to the response with the largest id. ``read_archive`` reads
-the files back as streams. ``capture_history`` sorts each archive's captures by URL key and time into a
-run, deals all runs out by ranges of that key, and merges the runs of each range with a loser tree, so
-that the ranges together are one globally ordered history. A range holds at most about RANGE_ROWS rows,
-whatever the number of captures of one URL, as the record id is part of the key.
+the files back as streams. ``capture_history`` has each task sort its captures by URL key and time into a
+run, which is written with the run's number and each capture's place in it. The runs are dealt out by
+ranges of the key; a range's task puts each run's slice in order by place, without comparing keys, and
+merges the slices with a loser tree, so that the ranges together are one globally ordered history. A range
+holds at most about RANGE_ROWS rows, whatever the number of captures of one URL, as the record id is part
+of the key. Offsets and lengths count bytes of an archive file's uncompressed stream.
 
 Defined results: null payloads are empty, and empty payloads are payloads like any other; rows without
 an id are written and read with a null id and count as smaller than any; equal payloads whose row holds the largest id are all
-responses, so repeated rows are; a null URL gives a record without a target and an empty key; an empty
-table gives an archive without records and an empty history; other columns are ignored.
+responses, so repeated rows are; a null URL gives a record without a target and an empty key; a very long
+payload is one record, held once by the task that reads it; an empty table gives an archive without
+records and an empty history; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 from itertools import groupby
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_lookup, materialize, shared_dir
+from tessera.llm.common import join_lookup, materialize, released, shared_dir
 
 RANGE_ROWS = 200_000
 SEPARATOR = "\r\n\r\n"
@@ -180,27 +184,26 @@ def capture_history(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     order = ["url_key", "time", "id"]
     keyed = found.withColumn("url_key", url_key(F.col("url")))
-    runs = materialize(keyed.sortWithinPartitions(*order))
+    # the number counts on within a task and tells tasks apart by its upper bits: run and place in one
+    runs = materialize(keyed.sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
-    columns = runs.columns
+    columns = keyed.columns
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
+        rows = rows.iloc[np.argsort(rows["__place"].to_numpy())]
         ids = rows["id"].fillna(-(2**63)).astype("int64").tolist()
-        keys = list(zip(rows["url_key"].tolist(), rows["time"].tolist(), ids, rows["offset"].tolist(), strict=True))
-        runs_: dict[str, list[int]] = {}
-        for i, file in enumerate(rows["file"].tolist()):
-            runs_.setdefault(file, []).append(i)
-        for own in runs_.values():
-            own.sort(key=keys.__getitem__)  # in order already, but for blocks that came out of turn
-        tree = LoserTree([iter([(keys[i], i) for i in own]) for _, own in sorted(runs_.items())])
+        keys = list(zip(rows["url_key"].tolist(), rows["time"].tolist(), ids, strict=True))
+        starts = np.flatnonzero(np.diff(rows["__place"].to_numpy() >> 33, prepend=-1))
+        slices = [range(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)]
+        tree = LoserTree([((keys[i], i) for i in own) for own in slices])
         yield rows.iloc[list(tree)][columns]
 
     dealt = runs.repartitionByRange(ranges, *order)
-    return dealt.mapInPandas(merge, runs.schema)
+    return dealt.mapInPandas(released(merge), keyed.schema)
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None, **columns: Any) -> DataFrame:

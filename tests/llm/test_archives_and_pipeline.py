@@ -42,7 +42,7 @@ def test_archive_and_history(spark):
     odd = "<p>x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\ny</p>\r\n\r\n\r\n"
     rows = [(1, "http://b.org/x", "same"), (2, "http://a.b.org/", "same"), (9, "http://a.b.org/", "same"), (3, None, odd), (4, "HTTP://User@WWW.B.org:80/Q?x#f", None), (5, "u\r\nv", ""), (9, "http://a.b.org/", "same"), (None, "http://b.org/x", "other"), (6, "http://b.org/x", "é" * 300_000)]
     rows += [(100 + i, f"http://h{i % 7}.org/{i % 3}", f"page {i % 50}") for i in range(300)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).repartition(5)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("digest", "id", "time", "n", "sha1", "payload", "response")}).repartition(5)
     got = warc.archive_and_index(pages).collect()
     most = {}
     for i, _, h in rows:
