@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
+#: Rows of texts that a Python worker gets at once, where the session has Spark's own default.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 1_000, 10_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_folders: dict[str, str] = {}
 
 
@@ -35,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def of_texts(df: DataFrame) -> DataFrame:
+    """``df``, whose rows hold texts: a batch of them, held several times over on its way to Python and back, is kept to some megabytes.
+
+    A session that sets the size of its batches keeps its own.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH_SETTING)) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession

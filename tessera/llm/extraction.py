@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import of_texts
+
 # Tags and names of containers.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -309,4 +311,4 @@ def _main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
     """``pages`` with each page's main text."""
-    return pages.withColumn(name, _main_text(F.col(html_col)))
+    return of_texts(pages).withColumn(name, _main_text(F.col(html_col)))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import of_texts
+
 # Element ids of the published Matroska and EBML specifications.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
@@ -288,7 +290,7 @@ def read_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def media_column(df: DataFrame, text_col: str = "text", name: str = "media") -> DataFrame:
     """``df`` with each text stored in a Matroska file of its own."""
-    return df.withColumn(name, to_matroska(F.col(text_col)))
+    return of_texts(df).withColumn(name, to_matroska(F.col(text_col)))
 
 
 def features(media: Column | str) -> Column:

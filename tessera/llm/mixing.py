@@ -148,7 +148,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     cuts = plan(docs, id_col, source_col, text_col, ceiling=ceiling, power=power, seed=seed, **options)
     there = {c: f"__{c}" for c in cuts.columns if c != "source"}
-    rows = join_lookup(docs, cuts.withColumnsRenamed(there | {"source": source_col}), [source_col]).withColumn("__size", words(F.col(text_col)))
+    rows = join_lookup(docs, cuts.withColumnsRenamed(there | {"source": source_col}), [source_col])
+    # exploded, so that the words are counted once and not for each expression that uses their number
+    rows = rows.select("*", F.explode(F.array(words(F.col(text_col)))).alias("__size"))
     rows = rows.withColumn("__copies", expected_copies(F.col("__scale"), class_of(F.col("__size")), power, ceiling))
     fraction = F.col("__copies") - F.floor("__copies")
     rank = odds_rank(F.col(id_col), fraction, seed)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import of_texts
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The patterns of the base identifiers, written so that no text takes more than linear time.
@@ -260,8 +262,8 @@ def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``pii``: counts and digest of the base spans, and all spans."""
-    return docs.withColumn("pii", find(F.col(text_col)))
+    return of_texts(docs).withColumn("pii", find(F.col(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn(text_col, redacted(F.col(text_col)))
+    return of_texts(docs).withColumn(text_col, redacted(F.col(text_col)))

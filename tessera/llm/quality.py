@@ -7,10 +7,11 @@ posterior; how strongly is estimated from the spread of the groups (method of mo
 rest on their prior. A document's final odds are its own, moved by the odds of its path's posterior
 (without the document itself) over the global odds.
 
-Labels are used only from rows outside ``held_out``, at most ``train_rows`` of them for the fit (those
-with the smallest hashes). Everything else covers all rows.
+Labels are used only from rows outside ``held_out``, about ``train_rows`` of them for the fit (those whose
+hashed ids fall below a threshold). Everything else covers all rows.
 
-Defined results: a null or empty text has the features of no words; null hosts and paths are groups like
+Defined results: a null or empty text has the features of no words; a very long one is gone through once
+and held whole; rows that repeat an id train together or not at all; null hosts and paths are groups like
 others; without labels the evidence is 0.5 throughout; repeated rows are judged and counted one by one;
 an empty table gives no rows; columns other than those named are ignored.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import join_lookup, materialize
-from tessera.llm.toxicity import held_out
+from tessera.llm.common import join_lookup, materialize, of_texts
+from tessera.llm.toxicity import HASHES, held_out
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
@@ -89,12 +90,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for texts in batches:
             yield pd.Series([surface(t or "") for t in texts])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), features(text_col).alias("x"))
+    rows = of_texts(docs).select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), features(text_col).alias("x"))
     rows = materialize(rows)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     known = materialize(known.filter(~held_out(F.col("id"))))
     rows = materialize(join_lookup(rows, known, ["id"]))
-    sample = rows.filter("label is not null").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("x", "label").toPandas()
+    labelled = rows.filter("label is not null")
+    share = min(1.0, train_rows / max(labelled.count(), 1))  # by a threshold of hashes: no sort
+    sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < share * HASHES).select("id", "x", "label").toPandas().sort_values("id", kind="stable")
     y = sample["label"].to_numpy(dtype=float)
     if len(set(y)) == 2:
         weights, mean, spread = fit(np.array(sample["x"].tolist(), dtype=float), y)

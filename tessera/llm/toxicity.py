@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_lookup, materialize, released
+from tessera.llm.common import join_lookup, materialize, of_texts, released
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n1, n0 = (chosen.filter(F.col("y") == y).count() for y in (1, 0))
     if not n1 or not n0:
         return {"ids": np.zeros(0, dtype=np.int64), "weights": np.zeros(0), "bias": float(np.log((n1 + 1) / (n0 + 1)))}
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = of_texts(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = join_lookup(rows, chosen, ["id"], "inner")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,4 +156,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "sco
             z = np.array([of[grams.of(t or "", among)].sum() + bias for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.withColumn(name, toxic(F.col(text_col)))
+    return of_texts(docs).withColumn(name, toxic(F.col(text_col)))
