@@ -2,7 +2,9 @@
 
 A missing operand gives a missing result; so do division and remainder by zero, and results that do not
 fit (where unchecked machine arithmetic would wrap). Signed values are BIGINT, unsigned ones
-DECIMAL(20,0) within 0 to 2**64 - 1. Quotients are cut toward zero.
+DECIMAL(20,0) within 0 to 2**64 - 1. Operands of mixed signs give DECIMAL(20,0) within -2**63 to 2**64 - 1:
+negative results are signed ones, all others unsigned. Quotients are cut toward zero. Bits are those of
+unsigned numbers; a negative operand stands for its 64-bit pattern.
 """
 
 from __future__ import annotations
@@ -73,16 +75,61 @@ def unsigned_multiply(a: Column, b: Column) -> Column:
     return unsigned(F.try_multiply(unsigned(a).cast("decimal(38,0)"), unsigned(b).cast("decimal(38,0)")))
 
 
+def unsigned_subtract(a: Column, b: Column) -> Column:
+    return mixed_subtract(unsigned(a), unsigned(b))
+
+
+def mixed(value: Column) -> Column:
+    """A signed or unsigned 64-bit number; missing outside both ranges."""
+    number = value.try_cast("decimal(38,0)")
+    fits = number.between(F.lit(str(LEAST_SIGNED)).cast("decimal(38,0)"), F.lit(str(MOST_UNSIGNED)).cast("decimal(38,0)"))
+    return F.when(fits, number).cast(UNSIGNED)
+
+
+def mixed_add(a: Column, b: Column) -> Column:
+    return mixed(mixed(a) + mixed(b))
+
+
+def mixed_subtract(a: Column, b: Column) -> Column:
+    return mixed(mixed(a) - mixed(b))
+
+
+def mixed_multiply(a: Column, b: Column) -> Column:
+    return mixed(F.try_multiply(mixed(a).cast("decimal(38,0)"), mixed(b).cast("decimal(38,0)")))
+
+
+def mixed_divide(a: Column, b: Column) -> Column:
+    a, b = mixed(a), mixed(b)
+    by = F.nullif(b, F.lit(0).cast(UNSIGNED))
+    return mixed((a - a % by) / by)
+
+
+def mixed_modulo(a: Column, b: Column) -> Column:
+    """Remainder with the dividend's sign."""
+    return (mixed(a) % F.nullif(mixed(b), F.lit(0).cast(UNSIGNED))).cast(UNSIGNED)
+
+
+def _pattern(value: Column) -> Column:
+    """The 64 bits of a number, as a BIGINT."""
+    number = mixed(value)
+    return F.when(number >= F.lit(str(2**63)).cast(UNSIGNED), (number - F.lit(str(2**64)).cast(UNSIGNED))).otherwise(number).cast("bigint")
+
+
+def _number(bits: Column) -> Column:
+    """The unsigned number of 64 bits."""
+    return F.when(bits < 0, bits.cast(UNSIGNED) + F.lit(str(2**64)).cast(UNSIGNED)).otherwise(bits.cast(UNSIGNED)).cast(UNSIGNED)
+
+
 def bit_and(a: Column, b: Column) -> Column:
-    return signed(a).bitwiseAND(signed(b))
+    return _number(_pattern(a).bitwiseAND(_pattern(b)))
 
 
 def bit_or(a: Column, b: Column) -> Column:
-    return signed(a).bitwiseOR(signed(b))
+    return _number(_pattern(a).bitwiseOR(_pattern(b)))
 
 
 def bit_xor(a: Column, b: Column) -> Column:
-    return signed(a).bitwiseXOR(signed(b))
+    return _number(_pattern(a).bitwiseXOR(_pattern(b)))
 
 
 def wide(value: Column) -> Column:

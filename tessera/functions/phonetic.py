@@ -195,6 +195,21 @@ def word_codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if t is None else sorted({c for w in codes_of_words(t) for c in w}) for t in texts], dtype=object)
 
 
+def word_sounds_alike(driving: str, other: str) -> bool:
+    wanted, known = codes_of_words(driving), {c for w in codes_of_words(other) for c in w}
+    return bool(wanted) and all(not known.isdisjoint(codes) for codes in wanted)
+
+
+@F.pandas_udf(T.BooleanType())
+def sounds_alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether each word of the driving column sounds, in one of its ways, like some word of the other; null for null.
+
+    Of two columns the left one drives; a constant drives wherever it stands (``sounds_like``).
+    """
+    for driving, other in batches:
+        yield pd.Series([None if a is None or b is None else word_sounds_alike(a, b) for a, b in zip(driving, other, strict=True)], dtype=object)
+
+
 def sounds_like(text: Column, words: str) -> Column:
     """Whether each word of the constant sounds, in one of its ways, like some word of the text."""
     wanted = codes_of_words(words)

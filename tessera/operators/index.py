@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,28 @@ def compound_keys(parts: list[DataFrame], required: list[bool]) -> DataFrame:
     return out.distinct()
 
 
+def covering(index: DataFrame, df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """An index whose entries carry values of their records besides the key, so that queries need no record."""
+    return index.join(df.select(F.col(id_col).alias("drn"), *columns), "drn")
+
+
+def alternate_keys(df: DataFrame, id_col: str, texts: list[Column], rules: Rules = EXACT, limit: int = VALUE_LIMIT) -> DataFrame:
+    """A key from the first of some fields that a record has."""
+    return value_keys(df, id_col, F.coalesce(*texts), rules, limit)
+
+
+def post_keys(df: DataFrame, id_col: str, text: Column, limit: int = VALUE_LIMIT) -> DataFrame:
+    """Keys without case, and behind each where its capitals were, so that the value can be had from the key."""
+    own = F.substring(text, 1, limit)
+    flags = F.array_join(F.transform(F.split(own, ""), lambda c: F.when((c != F.lower(c)) & (c == F.upper(c)), "1").otherwise("0")), "")
+    return df.select(F.col(id_col).alias("drn"), F.lower(own).alias("key"), flags.alias("post")).filter("key is not null").distinct()
+
+
+def across(indexes: dict[str, DataFrame]) -> DataFrame:
+    """One index over several containers: each entry with the container that its record is in."""
+    return reduce(DataFrame.unionByName, [i.withColumn("container", F.lit(name)) for name, i in indexes.items()])
+
+
 def key_counts(index: DataFrame) -> DataFrame:
     """Each key's references."""
     return index.groupBy("key").agg(F.countDistinct("drn").alias("refs"))

@@ -2,15 +2,19 @@
 
 A node has a number in document order (``pre``, also its id within its document), the number after its
 last descendant (``last``), its parent, its place among its siblings, kind, name, namespace, value and depth.
-An axis is an equality on the document and, for ancestors and the like, a range of ``pre``: documents
-bound what meets. Attributes are nodes of their own kind that only the attribute axis reaches.
+An axis is a semi-join on the document and a number: the parent's for children, siblings and attributes; for
+descendants and ancestors a block of BLOCK numbers, within which a range is compared, so that a large document
+is many keys; for what follows or precedes the outermost context of a document is all that matters.
+Attributes are nodes of their own kind that only the attribute axis reaches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.parsers import expat
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,59 +25,119 @@ COLUMNS = ["doc_id", "pre", "last", "parent", "sibling", "depth", "kind", "name"
 SCHEMA = "doc_id bigint, pre bigint, last bigint, parent bigint, sibling bigint, depth int, kind string, name string, ns string, value string, first_child bigint, last_child bigint, next_sibling bigint, prev_sibling bigint"
 
 
-def shred(text: str) -> list[dict]:
-    """The nodes of one document; none if it is not well-formed."""
-    nodes: list[dict] = []
-    open_: list[int] = []
-    children: list[list[int]] = []
-    text_parts: list[str] = []
-
-    def add(kind: str, name: str | None, value: str | None) -> int:
-        ns, _, local = (name or "").rpartition("\n")
-        nodes.append({"pre": len(nodes), "last": len(nodes), "parent": open_[-1] if open_ else None, "depth": len(open_), "kind": kind, "name": local or None, "ns": ns or None, "value": value, "children": []})
-        if kind != "attribute":
-            (nodes[open_[-1]]["children"] if open_ else children).append(len(nodes) - 1)
-        return len(nodes) - 1
-
-    def flush(kind: str = "text") -> None:
-        if text_parts:
-            value = "".join(text_parts)
-            text_parts.clear()
-            if open_ and (kind == "cdata" or value.strip()):
-                add(kind, None, value)
-
-    def start(name: str, attributes: list[str]) -> None:
-        flush()
-        open_.append(add("element", name, None))
-        for k, v in zip(attributes[::2], attributes[1::2], strict=True):
-            add("attribute", k, v)
-
-    def end(_: str) -> None:
-        flush()
-        nodes[open_.pop()]["last"] = len(nodes) - 1
-
-    def cdata(begins: bool) -> None:
-        flush("text" if begins else "cdata")
-
-    parser = expat.ParserCreate(namespace_separator="\n")
-    parser.ordered_attributes = True
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = text_parts.append
-    parser.CommentHandler = lambda value: (flush(), add("comment", None, value))
-    parser.ProcessingInstructionHandler = lambda name, value: (flush(), add("pi", name, value))
-    parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = lambda: cdata(True), lambda: cdata(False)
-    # entities declared by a document are not expanded
-    parser.EntityDeclHandler = lambda *_: parser.Parse("<", True)
-    try:
+class Shredder:
+    """Node columns of documents, one after another; a document that is not well-formed leaves nothing."""
+
+    def __init__(self) -> None:
+        self.columns: dict[str, list] = {c: [] for c in COLUMNS if c not in ("doc_id", "pre")}
+        self.documents: list[tuple[int, int]] = []  # id and nodes of each
+
+    def add(self, own: int, text: str) -> None:
+        base = len(self.columns["kind"])
+        try:
+            self._read(text, base)
+        except expat.ExpatError:
+            for column in self.columns.values():
+                del column[base:]
+        self.documents.append((own, len(self.columns["kind"]) - base))
+
+    def _read(self, text: str, base: int) -> None:
+        last, parents, sibling, depth, kinds, names, spaces, values, first_child, last_child, next_sibling, prev_sibling = self.columns.values()
+        stack: list[int] = []
+        counts: list[int] = []
+        parts: list[str] = []
+
+        def node(kind: str, name: str | None, value: str | None) -> int:
+            here = len(kinds)
+            ns, _, local = (name or "").rpartition("\n")
+            last.append(here - base)
+            depth.append(len(stack))
+            kinds.append(kind)
+            names.append(local or None)
+            spaces.append(ns or None)
+            values.append(value)
+            first_child.append(-1)
+            last_child.append(-1)
+            next_sibling.append(-1)
+            parent = stack[-1] if stack else -1
+            parents.append(parent - base if stack else -1)
+            if kind == "attribute":
+                sibling.append(-1)
+                prev_sibling.append(-1)
+                return here
+            if stack:
+                counts[-1] += 1
+                sibling.append(counts[-1])
+                before = last_child[parent]
+                if before < 0:
+                    first_child[parent] = here - base
+                else:
+                    next_sibling[before + base] = here - base
+                prev_sibling.append(before)
+                last_child[parent] = here - base
+            else:  # the root, and comments and the like beside it
+                tops.append(here)
+                sibling.append(len(tops))
+                prev_sibling.append(tops[-2] - base if len(tops) > 1 else -1)
+                if len(tops) > 1:
+                    next_sibling[tops[-2]] = here - base
+            return here
+
+        tops: list[int] = []
+
+        def flush(kind: str = "text") -> None:
+            if parts:
+                value = "".join(parts)
+                parts.clear()
+                if stack and (kind == "cdata" or value.strip()):
+                    node(kind, None, value)
+
+        def start(name: str, attributes: list[str]) -> None:
+            flush()
+            stack.append(node("element", name, None))
+            counts.append(0)
+            for k, v in zip(attributes[::2], attributes[1::2], strict=True):
+                node("attribute", k, v)
+
+        def end(_: str) -> None:
+            flush()
+            counts.pop()
+            last[stack.pop()] = len(kinds) - 1 - base
+
+        def cdata(begins: bool) -> None:
+            flush("text" if begins else "cdata")
+
+        parser = expat.ParserCreate(namespace_separator="\n")
+        parser.ordered_attributes = True
+        parser.EndElementHandler = end
+        parser.CharacterDataHandler = parts.append
+        parser.CommentHandler = lambda value: (flush(), node("comment", None, value))
+        parser.ProcessingInstructionHandler = lambda name, value: (flush(), node("pi", name, value))
+        parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = lambda: cdata(True), lambda: cdata(False)
+        # declared prefixes are nodes of the namespace axis; a default namespace is its elements' own
+        declared: list[str] = []
+        parser.StartNamespaceDeclHandler = lambda prefix, uri: declared.extend((f"xmlns\n{prefix}", uri or "")) if prefix else None
+
+        def start_with_prefixes(name: str, attributes: list[str]) -> None:
+            start(name, attributes + declared)
+            declared.clear()
+
+        parser.StartElementHandler = start_with_prefixes
+        # entities declared by a document are not expanded
+        parser.EntityDeclHandler = lambda *_: parser.Parse("<", True)
         parser.Parse(text, True)
-    except expat.ExpatError:
-        return []
-    for own in [children, *[n.pop("children") for n in nodes]]:
-        for i, k in enumerate(own):
-            nodes[k] |= {"sibling": i + 1, "prev_sibling": own[i - 1] if i else None, "next_sibling": own[i + 1] if i + 1 < len(own) else None}
-        if own and own is not children:
-            nodes[nodes[own[0]]["parent"]] |= {"first_child": own[0], "last_child": own[-1]}
-    return nodes
+
+    def batch(self) -> pa.RecordBatch:
+        ids, sizes = [d for d, _ in self.documents], [n for _, n in self.documents]
+        pre = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, dtype=np.int64)
+        out = {"doc_id": pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), sizes))), "pre": pa.array(pre, pa.int64())}
+        for name, column in self.columns.items():
+            if name in ("kind", "name", "ns", "value"):
+                out[name] = pa.array(column, pa.string())
+            else:
+                numbers = np.array(column, dtype=np.int64)
+                out[name] = pa.array(numbers, pa.int64(), mask=numbers < 0).cast(pa.int32() if name == "depth" else pa.int64())
+        return pa.RecordBatch.from_arrays([out[c] for c in COLUMNS], names=COLUMNS)
 
 
 #: Documents whose nodes are handed on together.
@@ -82,98 +146,159 @@ DOCUMENTS = 500
 
 def import_documents(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """The node table of a column of documents."""
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    kinds = [types[x.split()[1]] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCUMENTS):
-                part = batch.slice(at, DOCUMENTS)
-                rows: list[dict] = []
+                part, out = batch.slice(at, DOCUMENTS), Shredder()
                 for own, text in zip(part.column("doc_id").to_pylist(), part.column("xml").to_pylist(), strict=True):
-                    found = shred(text or "")
-                    for n in found:
-                        n["doc_id"] = own
-                    rows += found
-                yield pa.RecordBatch.from_arrays([pa.array([n.get(c) for n in rows], kind) for c, kind in zip(COLUMNS, kinds, strict=True)], names=COLUMNS)
+                    out.add(own, text or "")
+                yield out.batch()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(xml_col).alias("xml")).mapInArrow(run, SCHEMA)
 
 
+def rejected(docs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
+    """Documents that left no nodes: those not well-formed, or with entities of their own."""
+    return docs.join(nodes.filter("depth = 0").select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+
+
 AXES = (
     "self", "child", "parent", "descendant", "descendant-or-self", "ancestor", "ancestor-or-self", "following-sibling",
     "preceding-sibling", "following", "preceding", "attribute", "namespace", "root",
 )
 
 
-def _related(axis: str, c: DataFrame, n: DataFrame) -> Column:
-    """Whether node ``n`` is on the axis of context ``c``, both of one document."""
-    plain = n["kind"] != "attribute"
+#: Numbers of a document that make one key of a join by range.
+BLOCK = 1 << 16
+#: Axes on which positions count backwards.
+REVERSE = {"parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
+MARKS = ("doc_id", "pre", "last", "parent", "sibling", "kind")
+
+
+def _related(axis: str, c: Callable[[str], Column], n: Callable[[str], Column]) -> Column:
+    """Whether node ``n`` is on the axis of context ``c``, both of one document; ``c`` and ``n`` name their columns."""
+    plain = ~n("kind").isin("attribute", "annotation")
+    above = (n("pre") < c("pre")) & (n("last") >= c("pre")) & (n("kind") == "element")
     return {
-        "self": lambda: n["pre"] == c["pre"],
-        "child": lambda: (n["parent"] == c["pre"]) & plain,
-        "parent": lambda: n["pre"] == c["parent"],
-        "descendant": lambda: n["pre"].between(c["pre"] + 1, c["last"]) & plain,
-        "descendant-or-self": lambda: n["pre"].between(c["pre"], c["last"]) & (plain | (n["pre"] == c["pre"])),
-        "ancestor": lambda: (n["pre"] < c["pre"]) & (n["last"] >= c["pre"]) & (n["kind"] == "element"),
-        "ancestor-or-self": lambda: (n["pre"] == c["pre"]) | (n["pre"] < c["pre"]) & (n["last"] >= c["pre"]) & (n["kind"] == "element"),
-        "following-sibling": lambda: n["parent"].eqNullSafe(c["parent"]) & (n["sibling"] > c["sibling"]),
-        "preceding-sibling": lambda: n["parent"].eqNullSafe(c["parent"]) & (n["sibling"] < c["sibling"]),
-        "following": lambda: (n["pre"] > c["last"]) & plain,
-        "preceding": lambda: (n["last"] < c["pre"]) & plain,
-        "attribute": lambda: (n["parent"] == c["pre"]) & (n["kind"] == "attribute") & (F.coalesce(n["ns"], F.lit("")) != "xmlns"),
-        "namespace": lambda: (n["parent"] == c["pre"]) & (n["kind"] == "attribute") & (n["ns"] == "xmlns"),
-        "root": lambda: n["depth"] == 0,
+        "self": lambda: n("pre") == c("pre"),
+        "child": lambda: (n("parent") == c("pre")) & plain,
+        "parent": lambda: n("pre") == c("parent"),
+        "descendant": lambda: n("pre").between(c("pre") + 1, c("last")) & plain,
+        "descendant-or-self": lambda: n("pre").between(c("pre"), c("last")) & (plain | (n("pre") == c("pre"))),
+        "ancestor": lambda: above,
+        "ancestor-or-self": lambda: (n("pre") == c("pre")) | above,
+        "following-sibling": lambda: n("parent").eqNullSafe(c("parent")) & (n("sibling") > c("sibling")),
+        "preceding-sibling": lambda: n("parent").eqNullSafe(c("parent")) & (n("sibling") < c("sibling")),
+        "following": lambda: (n("pre") > c("last")) & plain,
+        "preceding": lambda: (n("last") < c("pre")) & plain,
+        "attribute": lambda: (n("parent") == c("pre")) & (n("kind") == "attribute") & (F.coalesce(n("ns"), F.lit("")) != "xmlns"),
+        "namespace": lambda: (n("parent") == c("pre")) & (n("kind") == "attribute") & (n("ns") == "xmlns"),
+        "root": lambda: n("depth") == 0,
     }[axis]()
 
 
-#: Axes on which positions count backwards.
-REVERSE = {"parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
+def _outermost(context: DataFrame, axis: str) -> DataFrame:
+    """The contexts that matter on an axis where one of a document, or of a parent's children, reaches all that the others do."""
+    if axis == "following":
+        return context.groupBy("doc_id").agg(F.min("last").alias("last"))
+    if axis == "preceding":
+        return context.groupBy("doc_id").agg(F.max("pre").alias("pre"))
+    if axis in ("following-sibling", "preceding-sibling"):
+        return context.groupBy("doc_id", "parent").agg((F.min if axis == "following-sibling" else F.max)("sibling").alias("sibling"))
+    return context.select("doc_id").distinct() if axis == "root" else context
+
 
+def _blocks(first: Column, last: Column) -> Column:
+    return F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK)))
 
-def step(context: DataFrame, nodes: DataFrame, axis: str, name: str | None = None, kind: str | None = None, occurrence: int | None = None) -> DataFrame:
+
+def _semi(rows: DataFrame, marks: DataFrame, related: Column, ranged: tuple[Column, Column, str] | None) -> DataFrame:
+    """Rows with a related mark (its columns begin with m_). ``ranged``: first and last number of the wider side, which is ``rows`` or ``marks``."""
+    same = F.col("m_doc_id") == F.col("doc_id")
+    if ranged is None:
+        return rows.join(marks, same & related, "left_semi")
+    first, last, wide = ranged
+    if wide == "marks":
+        blocked = marks.withColumn("m_block", _blocks(first, last))
+        return rows.withColumn("__block", F.floor(F.col("pre") / BLOCK)).join(blocked, same & (F.col("m_block") == F.col("__block")) & related, "left_semi").drop("__block")
+    blocked = marks.withColumn("m_block", F.floor(F.col("m_pre") / BLOCK))
+    some = rows.withColumn("__block", _blocks(first, last)).join(blocked, same & (F.col("m_block") == F.col("__block")) & related, "left_semi")
+    return some.drop("__block").dropDuplicates(["doc_id", "pre"])  # a row appears once for each block that it reaches into
+
+
+def step(context: DataFrame, nodes: DataFrame, axis: str, name: str | None = None, kind: str | None = None, occurrence: int | Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The nodes on an axis of each context node, each once.
 
-    ``name`` and ``kind`` narrow them; ``occurrence`` takes the n-th of each context node, in the axis's order.
+    ``name`` and ``kind`` narrow them. ``occurrence`` takes the n-th of each context node in the axis's
+    order, or those for whose position and number of positions a function gives true (``last_place``, say).
     """
-    c = context.select(*[F.col(x).alias(x) for x in ("doc_id", "pre", "last", "parent", "sibling")]).distinct().alias("c")
-    n = nodes.alias("n")
+    n = nodes
     if name is not None:
         n = n.filter(F.col("name") == name)
     if kind is not None:
         n = n.filter(F.col("kind") == kind)
-    left = c.select(*[F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc_id", "pre", "last", "parent", "sibling")])
-    view = _Renamed(left)
-    found = left.join(n, (F.col("c_doc_id") == F.col("doc_id")) & _related(axis, view, _Plain()))
-    if occurrence is not None:
-        order = F.col("pre").desc() if axis in REVERSE else F.col("pre").asc()
-        place = F.row_number().over(Window.partitionBy("c_doc_id", "c_pre").orderBy(order))
+    mark = lambda x: F.col(f"m_{x}")
+    related = _related(axis, mark, F.col)
+    if occurrence is None:
+        marks = _outermost(context, axis)
+        marks = marks.select(*[F.col(x).alias(f"m_{x}") for x in MARKS if x in marks.columns])
+        ranged = {"descendant": (mark("pre"), mark("last"), "marks"), "ancestor": (F.col("pre"), F.col("last"), "rows")}.get(axis.removesuffix("-or-self"))
+        if ranged and ranged[2] == "rows" and axis == "ancestor":
+            n = n.filter("kind = 'element'")
+        return _semi(n, marks, related, ranged).select(*nodes.columns)
+    marks = context.select(*[F.col(x).alias(f"m_{x}") for x in MARKS]).distinct()
+    found = marks.join(n, (F.col("m_doc_id") == F.col("doc_id")) & related)
+    own = Window.partitionBy("m_doc_id", "m_pre")
+    place = F.row_number().over(own.orderBy(F.col("pre").desc() if axis in REVERSE else F.col("pre").asc()))
+    if isinstance(occurrence, int):
         found = found.withColumn("__place", place).filter(F.col("__place") == occurrence)
-    return found.select(*nodes.columns).distinct()
+    else:
+        found = found.withColumns({"__place": place, "__many": F.count("*").over(own)}).filter(occurrence(F.col("__place"), F.col("__many")))
+    return found.select(*nodes.columns).dropDuplicates(["doc_id", "pre"])
 
 
-class _Renamed:
-    def __init__(self, df: DataFrame):
-        self.df = df
+def last_place(position: Column, last: Column) -> Column:
+    return position == last
 
-    def __getitem__(self, name: str) -> Column:
-        return F.col(f"c_{name}")
 
+def where(context: DataFrame, found: DataFrame, axis: str = "child") -> DataFrame:
+    """Context nodes with one of ``found`` on an axis: a nested condition, on any of AXES.
 
-class _Plain:
-    def __getitem__(self, name: str) -> Column:
-        return F.col(name)
+    Conditions on a node's own numbers and links are filters on its columns (``pre``, ``parent``, ``first_child``, ...).
+    """
+    marks = found.select(*[F.col(x).alias(f"m_{x}") for x in COLUMNS])
+    related = _related(axis, F.col, lambda x: F.col(f"m_{x}"))
+    ranged = {"descendant": (F.col("pre"), F.col("last"), "rows"), "ancestor": (F.col("m_pre"), F.col("m_last"), "marks")}.get(axis.removesuffix("-or-self"))
+    return _semi(context, marks, related, ranged)
 
 
-def where(context: DataFrame, found: DataFrame, axis: str = "child") -> DataFrame:
-    """Context nodes with one of ``found`` on an axis: a nested condition."""
-    marks = found.select(*[F.col(x).alias(f"m_{x}") for x in COLUMNS])
-    related = {
-        "child": F.col("m_parent") == F.col("pre"),
-        "attribute": F.col("m_parent") == F.col("pre"),
-        "descendant": F.col("m_pre").between(F.col("pre") + 1, F.col("last")),
-    }[axis]
-    return context.join(marks, (F.col("m_doc_id") == F.col("doc_id")) & related, "left_semi")
+def ancestor_element(context: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
+    """Each context node's nearest ancestor of a name."""
+    return step(context, nodes, "ancestor", name, "element", occurrence=1)
+
+
+def child_element(context: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
+    return step(context, nodes, "child", name, "element", occurrence=1)
+
+
+def descendant_element(context: DataFrame, nodes: DataFrame, name: str | None = None) -> DataFrame:
+    return step(context, nodes, "descendant", name, "element", occurrence=1)
+
+
+def sibling_element(context: DataFrame, nodes: DataFrame, name: str | None = None, forward: bool = True) -> DataFrame:
+    """Each context node's nearest sibling of a name, after or before it."""
+    return step(context, nodes, "following-sibling" if forward else "preceding-sibling", name, "element", occurrence=1)
+
+
+def node_keys(nodes: DataFrame, path: list[str], attribute: str | None = None) -> DataFrame:
+    """doc_id and ``keys``, the texts found at a chain of element names from a root (or of an attribute there), as a sort key of many values."""
+    found = reduce(lambda at, name: step(at, nodes, "child", name, "element"), path[1:], roots(nodes).filter(F.col("name") == path[0]))
+    if attribute is not None:
+        values = step(found, nodes, "attribute", attribute).select("doc_id", F.col("value").alias("text"))
+    else:
+        values = string_value(nodes, found).select("doc_id", "text")
+    return values.groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("keys"))
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -202,7 +327,7 @@ def delete_subtrees(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 def relink(nodes: DataFrame) -> DataFrame:
     """Siblings, neighbours and outer children from parents and order."""
-    own = nodes.withColumn("__attribute", F.col("kind") == "attribute")
+    own = nodes.withColumn("__attribute", F.col("kind").isin("attribute", "annotation"))
     w = Window.partitionBy("doc_id", "parent", "__attribute").orderBy("pre")
     plain = ~F.col("__attribute")
     own = own.withColumns({"sibling": F.when(plain, F.row_number().over(w).cast("long")), "prev_sibling": F.when(plain, F.lag("pre").over(w)), "next_sibling": F.when(plain, F.lead("pre").over(w))})
@@ -219,44 +344,110 @@ def set_value(nodes: DataFrame, found: DataFrame, value: Column) -> DataFrame:
     return joined.withColumn("value", F.when(F.col("m_pre").isNotNull(), F.col("m_value")).otherwise(F.col("value"))).select(*nodes.columns)
 
 
-def export_documents(nodes: DataFrame) -> DataFrame:
-    """doc_id and XML text; a document's nodes meet in one task, which streams them in order."""
+def _with_new(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """``nodes`` and new ones, numbered anew.
+
+    ``new`` has doc_id, the old number ``at`` and ``turn`` that say where each goes (turn 0: before the
+    node with that number, 2: right after it), parent, depth, kind, name, ns and value.
+    """
+    old = nodes.withColumns({"at": F.col("pre"), "turn": F.lit(1), "old": F.col("pre")})
+    both = old.unionByName(new.withColumn("old", F.lit(None).cast("long")), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy("at", "turn", "name")
+    numbered = both.withColumn("pre", (F.row_number().over(order) - 1).cast("long"))
+    places = numbered.groupBy("doc_id", "at").agg(F.max(F.when(F.col("turn") == 1, F.col("pre"))).alias("now"), F.max(F.when(F.col("turn") >= 1, F.col("pre"))).alias("end"))
+    parent = places.select("doc_id", F.col("at").alias("parent"), F.col("now").alias("new_parent"))
+    last = places.select("doc_id", F.col("at").alias("last"), F.col("end").alias("new_last"))
+    out = numbered.join(parent, ["doc_id", "parent"], "left").join(last, ["doc_id", "last"], "left")
+    return relink(out.withColumns({"parent": F.col("new_parent"), "last": F.coalesce("new_last", "pre")}).select(*nodes.columns))
+
+
+def _leaf(at: str, turn: int, parent: str, depth: Column, name: str | None, value: Column | str | None, kind: str, ns: str | None) -> list[Column]:
+    """Columns of a new leaf beside or in a node."""
+    text = value if isinstance(value, Column) else F.lit(value)
+    fixed = [F.lit(x).cast("string").alias(c) for x, c in ((name, "name"), (kind, "kind"), (ns, "ns"))]
+    return [F.col("doc_id"), F.col(at).alias("at"), F.lit(turn).alias("turn"), F.col(parent).alias("parent"), depth.alias("depth"), text.cast("string").alias("value"), *fixed]
+
+
+def insert_before(nodes: DataFrame, found: DataFrame, name: str | None, value: Column | str | None = None, kind: str = "element", ns: str | None = None) -> DataFrame:
+    """A new leaf before each node of ``found``, as its sibling."""
+    return _with_new(nodes, found.select(*_leaf("pre", 0, "parent", F.col("depth"), name, value, kind, ns)))
+
+
+def create_attribute(nodes: DataFrame, found: DataFrame, name: str, value: Column | str, ns: str | None = None) -> DataFrame:
+    """An attribute of each element of ``found``; one that is there already gets the value."""
+    there = step(found, nodes, "attribute", name)
+    rows = found.join(there.select("doc_id", F.col("parent").alias("pre")), ["doc_id", "pre"], "left_anti")
+    values = there.select("doc_id", F.col("parent").alias("__owner"), "pre").join(found.select("doc_id", F.col("pre").alias("__owner"), (value if isinstance(value, Column) else F.lit(value)).alias("__value")), ["doc_id", "__owner"])
+    return _with_new(set_value(nodes, values, F.col("__value")), rows.select(*_leaf("pre", 2, "pre", F.col("depth") + 1, name, value, "attribute", ns)))
+
+
+def create_annotation(nodes: DataFrame, found: DataFrame, value: Column | str) -> DataFrame:
+    """A note on each node of ``found``: a node of its own kind, which no axis shows and no export writes."""
+    return _with_new(nodes, found.select(*_leaf("pre", 2, "pre", F.col("depth") + 1, None, value, "annotation", None)))
+
+
+def export_documents(nodes: DataFrame, indent: int | None = None, declaration: bool = False) -> DataFrame:
+    """doc_id and XML text; a document's nodes meet in one task, which streams them in order.
+
+    With ``indent`` each element and the like begins a line, so many spaces deeper than its parent, unless
+    it follows a text. ``declaration`` puts the XML declaration first.
+    """
     from xml.sax.saxutils import escape, quoteattr
 
+    nodes = nodes.filter("kind <> 'annotation'")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n' if declaration else ""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, out, stack = None, [], []
 
         def close(upto: int) -> None:
             while stack and stack[-1][0] < upto:
-                _, tag, empty = stack.pop()
-                out.append("/>" if empty[0] else f"</{tag}>")
-
-        def content() -> None:
-            if stack and stack[-1][2][0]:
+                _, tag, state = stack.pop()
+                if indent is not None and state[1]:
+                    out.append("\n" + " " * (indent * len(stack)))
+                out.append("/>" if state[0] else f"</{tag}>")
+
+        def content(kind: str) -> None:
+            if not stack:
+                if out and indent is not None:
+                    out.append("\n")
+                return
+            state = stack[-1][2]
+            if state[0]:
                 out.append(">")
-                stack[-1][2][0] = False
+                state[0] = False
+            state[2] |= kind in ("text", "cdata")  # beside texts, white space would count
+            state[1] = not state[2]
+            if indent is not None and state[1]:
+                out.append("\n" + " " * (indent * len(stack)))
 
         for batch in batches:
             rows = []
             for doc, pre, last, kind, name, ns, value in zip(*[batch[c] for c in ("doc_id", "pre", "last", "kind", "name", "ns", "value")], strict=True):
                 if at is not None and doc != at:
                     close(1 << 62)
-                    rows.append((at, "".join(out)))
+                    rows.append((at, head + "".join(out)))
                     out.clear()
                 at = doc
                 close(pre)
                 if kind == "attribute":
-                    out.append(f" {name}={quoteattr(value)}")
+                    if ns == "xmlns":
+                        name = f"xmlns:{name}"
+                    elif ns:  # a prefix of its own
+                        prefix = f"n{pre}"
+                        out.append(f" xmlns:{prefix}={quoteattr(ns)}")
+                        name = f"{prefix}:{name}"
+                    out.append(f" {name}={quoteattr(value or '')}")
                     continue
-                content()
+                content(kind)
                 if kind == "element":
                     out.append(f"<{name}" + (f" xmlns={quoteattr(ns)}" if ns else ""))
-                    stack.append((last, name, [True]))
+                    stack.append((last, name, [True, False, False]))  # still empty; ends on a line of its own; has texts
                 else:
                     out.append({"text": lambda v: escape(v), "cdata": lambda v: f"<![CDATA[{v}]]>", "comment": lambda v: f"<!--{v}-->", "pi": lambda v: f"<?{name} {v}?>"}[kind](value or ""))
             yield pd.DataFrame(rows, columns=["doc_id", "xml"])
         if at is not None:
             close(1 << 62)
-            yield pd.DataFrame([(at, "".join(out))], columns=["doc_id", "xml"])
+            yield pd.DataFrame([(at, head + "".join(out))], columns=["doc_id", "xml"])
 
     return nodes.repartition("doc_id").sortWithinPartitions("doc_id", "pre").mapInPandas(run, "doc_id bigint, xml string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import EXACT, Rules
+from tessera.sources.written import written
 
 SCALE = 1000
 
@@ -44,6 +45,26 @@ class SortKey:
         return v.asc_nulls_last() if self.missing_high else v.asc_nulls_first()
 
 
+#: Sort keys that an order may have.
+MOST_KEYS = 32
+
+
+def verify(df: DataFrame, keys: list[SortKey], id_col: str) -> None:
+    """Raise ValueError for sort keys that cannot be: none or too many, columns that are not there or come twice, many values of what is no array, limits below 1."""
+    if not 1 <= len(keys) <= MOST_KEYS:
+        raise ValueError(f"an order has 1 to {MOST_KEYS} sort keys")
+    if len({k.column for k in keys}) < len(keys):
+        raise ValueError("a column is a sort key once")
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    for k in keys:
+        if k.column not in kinds or id_col not in kinds:
+            raise ValueError(f"no column {k.column if k.column not in kinds else id_col}")
+        if k.many != (kinds[k.column] == "array"):
+            raise ValueError(f"{k.column} has {'one value' if k.many else 'many values'}")
+        if k.limit is not None and k.limit < 1:
+            raise ValueError(f"{k.column} is cut to nothing")
+
+
 def order_by(keys: list[SortKey], id_col: str) -> list[Column]:
     return [*[k.order() for k in keys], F.col(id_col).asc()]
 
@@ -55,7 +76,7 @@ def ordered(df: DataFrame, keys: list[SortKey], id_col: str) -> DataFrame:
 def numbered(df: DataFrame, keys: list[SortKey], id_col: str, name: str = "position") -> DataFrame:
     """``df`` with each row's place from 1."""
     order = order_by(keys, id_col)
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").count()  # a row for each partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift"))
@@ -68,25 +89,48 @@ def first(df: DataFrame, keys: list[SortKey], id_col: str) -> DataFrame:
 
 
 def last(df: DataFrame, keys: list[SortKey], id_col: str) -> DataFrame:
+    return _turned(df, keys, id_col).limit(1)
+
+
+def _turned(df: DataFrame, keys: list[SortKey], id_col: str) -> DataFrame:
+    """From the last row to the first."""
     turned = []
     for k in keys:
         v = k.value()
         turned.append((v.asc_nulls_last() if k.missing_high else v.asc_nulls_first()) if k.descending else (v.desc_nulls_first() if k.missing_high else v.desc_nulls_last()))
-    return df.orderBy(*turned, F.col(id_col).desc()).limit(1)
+    return df.orderBy(*turned, F.col(id_col).desc())
 
 
 def at(df: DataFrame, keys: list[SortKey], id_col: str, position: int) -> DataFrame:
     """The row at a place from 1; 0 is before the first and −1 after the last, where no row is."""
     if position <= 0:
         return df.limit(0)
-    return ordered(df, keys, id_col).offset(position - 1).limit(1)
+    return numbered(df, keys, id_col, "__at").filter(F.col("__at") == position).drop("__at")
+
+
+def _beyond(keys: list[SortKey], id_col: str, here: str, after: bool) -> Column:
+    """Whether a row comes after (or before) another, whose values are the columns ``here`` and a number."""
+
+    def later(a: Column, b: Column, descending: bool, nulls_first: bool) -> Column:
+        one_missing = (b if nulls_first else a).isNull() & (a.isNull() != b.isNull())
+        return F.when(a.isNull() | b.isNull(), one_missing).otherwise((a < b) if descending else (a > b))
+
+    found, same = F.lit(False), F.lit(True)
+    for i, (v, *how) in enumerate([*[(k.value(), k.descending, k.missing_high == k.descending) for k in keys], (F.col(id_col), False, True)]):
+        h = F.col(f"{here}{i}")
+        found, same = found | same & (later(v, h, *how) if after else later(h, v, *how)), same & v.eqNullSafe(h)
+    return found
 
 
 def move(df: DataFrame, keys: list[SortKey], id_col: str, from_id: object, by: int) -> DataFrame:
-    """The row some steps after (before, if negative) the row with an id."""
-    places = numbered(df, keys, id_col)
-    here = places.filter(F.col(id_col) == from_id).agg(F.min("position").alias("__here"))
-    return places.join(F.broadcast(here), F.col("position") == F.col("__here") + by).drop("__here", "position")
+    """The row some steps after (before, if negative) the row with an id: of the rows beyond it only the nearest are put in order."""
+    here = df.filter(F.col(id_col) == from_id).limit(1)
+    if by == 0:
+        return here
+    values = [*[k.value() for k in keys], F.col(id_col)]
+    marks = here.select(*[v.alias(f"__here{i}") for i, v in enumerate(values)])
+    some = df.crossJoin(F.broadcast(marks)).filter(_beyond(keys, id_col, "__here", by > 0)).select(*df.columns)  # one row
+    return (ordered(some, keys, id_col) if by > 0 else _turned(some, keys, id_col)).offset(abs(by) - 1).limit(1)
 
 
 def next_page(df: DataFrame, keys: list[SortKey], id_col: str, after: Column | None, size: int) -> DataFrame:

@@ -6,6 +6,7 @@ number of times. Paths are tags from an ancestor down to a field, such as ``[1,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,18 +43,18 @@ def has_field(tag: int, fields: str = "fields") -> Column:
 def values_at(path: list[int], kind: str = "text", rooted: bool = False, fields: str = "fields") -> Column:
     """Values of the fields at a path, anywhere or (rooted) from the record's root.
 
-    Each step looks up the parents' places in the array, without a join.
+    A field's place in the array is its ``seq``, so its ancestors are looked up there: the fields are gone
+    through once, and only for those with the path's last tag are the others looked at.
     """
-    places = F.transform(F.filter(fields, lambda f: (f["tag"] == path[0]) & (F.lit(not rooted) | (f["level"] == 0))), lambda f: f["seq"])
-    for tag in path[1:]:
-        places = _below(fields, tag, places)
-    found = F.filter(fields, lambda f: F.array_contains(places, f["seq"]))
-    return F.transform(found, lambda f: f[VALUE[kind]])
 
+    def fits(f: Column) -> Column:
+        found, own = f["tag"] == path[-1], f
+        for tag in reversed(path[:-1]):
+            own = F.get(F.col(fields), own["parent_seq"])
+            found = found & (own["tag"] == tag)
+        return F.coalesce(found & (own["level"] == 0) if rooted else found, F.lit(False))
 
-def _below(fields: str, tag: int, parents: Column) -> Column:
-    """Places of the fields with a tag whose parent is at one of some places."""
-    return F.transform(F.filter(fields, lambda f: (f["tag"] == tag) & F.array_contains(parents, F.coalesce(f["parent_seq"], F.lit(-1)))), lambda f: f["seq"])
+    return F.transform(F.filter(fields, fits), lambda f: f[VALUE[kind]])
 
 
 def root_is(tag: int, fields: str = "fields") -> Column:
@@ -66,21 +67,31 @@ def long_table(records: DataFrame) -> DataFrame:
     return records.select("drn", F.explode("fields").alias("f")).select("drn", "f.*")
 
 
+_ESCAPED = re.compile(r"\\(.)")
+
+
+def _unescaped(value: str) -> str:
+    return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], value)
+
+
 def from_text_tree(lines: DataFrame, id_col: str = "drn", text_col: str = "text") -> DataFrame:
-    """Records from indented text: ``level tag type value`` lines, a record's in one text."""
+    """Records from indented text: ``level tag type value`` lines, a record's in one text.
+
+    Within a text value a line end is written as ``\\n`` and a backslash as two.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for drn, text in zip(batch["drn"], batch["text"], strict=True):
                 fields, open_ = [], []
-                for seq, line in enumerate(x for x in (text or "").splitlines() if x.strip()):
+                for seq, line in enumerate(x for x in (text or "").split("\n") if x):
                     level, tag, kind, *rest = line.split(" ", 3)
                     level, value = int(level), rest[0] if rest else None
                     del open_[level:]
                     field = {"seq": seq, "parent_seq": open_[-1] if open_ else None, "level": level, "tag": int(tag), "type": kind, "text": None, "num": None, "bin": None, "ref": None}
                     if kind in VALUE and value is not None:
-                        field[VALUE[kind]] = {"text": str, "number": str, "binary": bytes.fromhex, "pointer": int}[kind](value)
+                        field[VALUE[kind]] = {"text": _unescaped, "number": str, "binary": bytes.fromhex, "pointer": int}[kind](value)
                     open_.append(seq)
                     fields.append(field)
                 out.append(fields)
@@ -92,7 +103,8 @@ def from_text_tree(lines: DataFrame, id_col: str = "drn", text_col: str = "text"
 
 
 def to_text_tree(fields: str = "fields") -> Column:
-    value = lambda f: F.coalesce(f["text"], f["num"].cast("string"), F.lower(F.hex(f["bin"])), f["ref"].cast("string"))
+    text = lambda f: F.replace(F.replace(f["text"], F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    value = lambda f: F.coalesce(text(f), f["num"].cast("string"), F.lower(F.hex(f["bin"])), f["ref"].cast("string"))
     line = lambda f: F.concat_ws(" ", f["level"].cast("string"), f["tag"].cast("string"), f["type"], value(f))
     return F.array_join(F.transform(fields, line), "\n")
 

@@ -172,8 +172,11 @@ class Field:
     def contains(self, pattern: str) -> Criterion:
         return TextTest(self, lambda x: text.contains(x, pattern, self.rules))
 
-    def sounds_like(self, words: str) -> Criterion:
-        """Every word of the constant sounds like some word of the field."""
+    def sounds_like(self, words: str | Field) -> Criterion:
+        """Every word of the constant sounds like some word of the field; of two fields, every word of this one like some word of the other."""
+        if isinstance(words, Field):
+            joined = [F.array_join(f.value, " ") if f.many else f.value for f in (self, words)]
+            return Known(phonetic.sounds_alike(*joined))
         return TextTest(self, lambda x: phonetic.sounds_like(x, words)) if not self.many else Known(phonetic.sounds_like(F.array_join(self.value, " "), words))
 
 
