@@ -99,6 +99,12 @@ def test_join_odd(spark, odd_documents, no_documents):
     assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 5, 6, None, 7], key=str)
 
 
+def test_repeated_ids_with_other_texts_stay(spark):
+    rows = [(1, "one text of some seven words here", "en", "a"), (1, "One  text of some seven words here", "en", "a"), (1, "quite another text that has other words", "en", "a"), (2, "a third text that has nothing of the others", "en", "a")]
+    kept = sorted((r.doc_id, r.text.lower().split()[0]) for r in jaccard.representatives(documents(spark, rows)).collect())
+    assert kept == [(1, "one"), (1, "quite"), (2, "a")]
+
+
 def test_join_links_are_bounded_below():
     for n in range(1, 60):
         for m in range(-(-75 * n // 100), 100 * n // 75 + 1):
@@ -331,6 +337,40 @@ def test_sparse_sites_rest_on_their_prior(spark):
     assert abs(rare.path_posterior - rare.host_posterior) < 0.1
 
 
+def test_posteriors_match_plain_sums(spark):
+    """All posteriors and scores from the evidence and labels, by loops."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("good", "text", "|", "##", "Of", "12")) for _ in range(rng.randint(1, 30))), rng.choice(("p", "q", None)), rng.choice(("a", "a", "a", "b", None))) for i in range(400)]
+    labels = {i: int(rng.random() < (0.8 if rows[i][3] == "a" else 0.3)) for i in range(0, 400, 2)}
+    got = {r.doc_id: r for r in quality.judge(documents(spark, rows), spark.createDataFrame([(i, y) for i, y in labels.items()], "doc_id long, quality int")).collect()}
+    e = {i: labels[i] if i in labels and not got[i].held_out else got[i].evidence for i in got}
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for i, _, path, host in rows:
+        paths[host, path].append(e[i])
+        hosts[host].append(e[i])
+    prior = (sum(e.values()) + 0.5) / (len(e) + 1)
+
+    def strength(groups, of):
+        n = sum(map(len, groups.values()))
+        between = sum(len(v) * (sum(v) / len(v) - of(k)) ** 2 for k, v in groups.items())
+        chance = sum(of(k) * (1 - of(k)) for k in groups)
+        within = sum(len(v) * of(k) * (1 - of(k)) for k, v in groups.items())
+        spread = (between - chance) / n
+        return min(max(within / n / spread - 1, quality.STRENGTHS[0]), quality.STRENGTHS[1]) if spread > 0 else quality.STRENGTHS[1]
+
+    kh = strength(hosts, lambda _: prior)
+    host = {h: (kh * prior + sum(v)) / (kh + len(v)) for h, v in hosts.items()}
+    kp = strength(paths, lambda k: host[k[0]])
+    odds = lambda p: np.log(p / (1 - p))
+    for i, _, p, h in rows:
+        own = paths[h, p]
+        assert got[i].host_posterior == pytest.approx(host[h]) and got[i].path_posterior == pytest.approx((kp * host[h] + sum(own)) / (kp + len(own)))
+        rest = (kh * prior + sum(hosts[h]) - e[i]) / (kh + len(hosts[h]) - 1)
+        rest = (kp * rest + sum(own) - e[i]) / (kp + len(own) - 1)
+        z = odds(min(max(got[i].evidence, 1e-6), 1 - 1e-6)) + odds(rest) - odds(prior)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_quality_odd(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (5, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.judge(odd_documents, labels).count() == 10

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import os
 import re
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -296,6 +298,52 @@ def test_toxicity_held_out(spark):
     assert auc > 0.98 and caught > 0.88 and wrong < 0.01
 
 
+def plain_grams(text):
+    """The features of a text as a whole, each gram hashed by itself."""
+    whole, out = f" {text.lower()} ", set()
+    for n in toxicity.ORDERS:
+        for i in range(len(whole) - n + 1):
+            codes = [ord(c) for c in whole[i : i + n]]
+            h = codes[0] * 0x9E3779B1 % 2**32
+            for c in codes[1:]:
+                h = ((h ^ h >> 15) * 0x85EBCA6B + c) % 2**32
+            h = h * 0xC2B2AE35 % 2**32
+            out.add((h ^ h >> 13) >> 32 - toxicity.BITS)
+    return out
+
+
+def test_grams_match_the_plain_ones(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 16)
+    rng = __import__("random").Random(1)
+    for n in [*range(40), 200]:
+        text = "".join(rng.choice("abcÄé ☃") for _ in range(n))
+        assert set(toxicity.Grams().of(text).tolist()) == plain_grams(text)
+
+
+def test_ratios_and_weights_match_plain_counts(spark, monkeypatch):
+    """The model from plain counts: ratios of both signs, all features beyond the evidence asked for."""
+    monkeypatch.setattr(toxicity, "EVIDENCE", 2.5)
+    rng = __import__("random").Random(2)
+    texts = [" ".join(rng.choice(("vile", "slur", "tea") if i % 3 == 0 else ("tea", "kind", "calm")) for _ in range(12)) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"))
+    rows = [(plain_grams(t), int(i % 3 == 0)) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
+    ratios = {}
+    for f in set().union(*(g for g, _ in rows)):
+        c1, c0 = sum(y for g, y in rows if f in g), sum(1 - y for g, y in rows if f in g)
+        both = (c0 + c1 + 1) / (n0 + n1 + 2)
+        z = (c1 / n1 - c0 / n0) / (both * (1 - both) * (1 / n1 + 1 / n0)) ** 0.5
+        if c0 + c1 >= toxicity.LEAST_ROWS and abs(z) > 2.5:
+            ratios[f] = math.log((c1 + 1) / (n1 + 2)) - math.log((c0 + 1) / (n0 + 2))
+    ids = sorted(ratios)
+    assert model["ids"].tolist() == ids and min(ratios.values()) < 0 < max(ratios.values())
+    place = {f: i for i, f in enumerate(ids)}
+    w, b = toxicity.fit_logistic([np.array(sorted(place[f] for f in g if f in place), dtype=np.int32) for g, _ in rows], np.array([y for _, y in rows], dtype=float), len(ids), np.array([ratios[f] for f in ids]))
+    assert np.allclose(model["weights"], w * np.array([ratios[f] for f in ids]), atol=1e-3) and abs(model["bias"] - b) < 1e-2
+
+
 def test_toxicity_odd(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0), (7, None), (None, 1), (6, 1), (8, 0), (4, 0)], "doc_id long, toxic int")
     model = toxicity.train(odd_documents, labels)
