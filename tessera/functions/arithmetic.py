@@ -4,7 +4,7 @@ A missing operand gives a missing result; so do division and remainder by zero,
 fit (where unchecked machine arithmetic would wrap). Signed values are BIGINT, unsigned ones
 DECIMAL(20,0) within 0 to 2**64 - 1. Operands of mixed signs give DECIMAL(20,0) within -2**63 to 2**64 - 1:
 negative results are signed ones, all others unsigned. Quotients are cut toward zero. Bits are those of
-unsigned numbers; a negative operand stands for its 64-bit pattern.
+signed numbers, or with ``unsigned_`` of unsigned ones, where a negative operand stands for its 64-bit pattern.
 """
 
 from __future__ import annotations
@@ -121,14 +121,26 @@ def _number(bits: Column) -> Column:
 
 
 def bit_and(a: Column, b: Column) -> Column:
-    return _number(_pattern(a).bitwiseAND(_pattern(b)))
+    return signed(a).bitwiseAND(signed(b))
 
 
 def bit_or(a: Column, b: Column) -> Column:
-    return _number(_pattern(a).bitwiseOR(_pattern(b)))
+    return signed(a).bitwiseOR(signed(b))
 
 
 def bit_xor(a: Column, b: Column) -> Column:
+    return signed(a).bitwiseXOR(signed(b))
+
+
+def unsigned_bit_and(a: Column, b: Column) -> Column:
+    return _number(_pattern(a).bitwiseAND(_pattern(b)))
+
+
+def unsigned_bit_or(a: Column, b: Column) -> Column:
+    return _number(_pattern(a).bitwiseOR(_pattern(b)))
+
+
+def unsigned_bit_xor(a: Column, b: Column) -> Column:
     return _number(_pattern(a).bitwiseXOR(_pattern(b)))
 
 

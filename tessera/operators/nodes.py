@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.written import written
+
 COLUMNS = ["doc_id", "pre", "last", "parent", "sibling", "depth", "kind", "name", "ns", "value", "first_child", "last_child", "next_sibling", "prev_sibling"]
 SCHEMA = "doc_id bigint, pre bigint, last bigint, parent bigint, sibling bigint, depth int, kind string, name string, ns string, value string, first_child bigint, last_child bigint, next_sibling bigint, prev_sibling bigint"
 
@@ -345,7 +347,7 @@ def set_value(nodes: DataFrame, found: DataFrame, value: Column) -> DataFrame:
 
 
 def _with_new(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """``nodes`` and new ones, numbered anew.
+    """``nodes`` and new ones, numbered anew, as a written table: change upon change would else be computed over and over.
 
     ``new`` has doc_id, the old number ``at`` and ``turn`` that say where each goes (turn 0: before the
     node with that number, 2: right after it), parent, depth, kind, name, ns and value.
@@ -353,12 +355,12 @@ def _with_new(nodes: DataFrame, new: DataFrame) -> DataFrame:
     old = nodes.withColumns({"at": F.col("pre"), "turn": F.lit(1), "old": F.col("pre")})
     both = old.unionByName(new.withColumn("old", F.lit(None).cast("long")), allowMissingColumns=True)
     order = Window.partitionBy("doc_id").orderBy("at", "turn", "name")
-    numbered = both.withColumn("pre", (F.row_number().over(order) - 1).cast("long"))
+    numbered = written(both.withColumn("pre", (F.row_number().over(order) - 1).cast("long")))
     places = numbered.groupBy("doc_id", "at").agg(F.max(F.when(F.col("turn") == 1, F.col("pre"))).alias("now"), F.max(F.when(F.col("turn") >= 1, F.col("pre"))).alias("end"))
     parent = places.select("doc_id", F.col("at").alias("parent"), F.col("now").alias("new_parent"))
     last = places.select("doc_id", F.col("at").alias("last"), F.col("end").alias("new_last"))
     out = numbered.join(parent, ["doc_id", "parent"], "left").join(last, ["doc_id", "last"], "left")
-    return relink(out.withColumns({"parent": F.col("new_parent"), "last": F.coalesce("new_last", "pre")}).select(*nodes.columns))
+    return written(relink(out.withColumns({"parent": F.col("new_parent"), "last": F.coalesce("new_last", "pre")}).select(*nodes.columns)))
 
 
 def _leaf(at: str, turn: int, parent: str, depth: Column, name: str | None, value: Column | str | None, kind: str, ns: str | None) -> list[Column]:

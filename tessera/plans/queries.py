@@ -87,7 +87,7 @@ def or_union_dedup(spark, d):
 def bitwise_precedence(spark, d):
     size = F.col("p_size")
     bits = arithmetic.bit_or(arithmetic.bit_xor(arithmetic.bit_and(size, F.lit(12)), F.lit(5)), F.lit(3))
-    return (field(arithmetic.bit_and(size, F.lit(4))) == 4).rows(table(spark, d, "part")).select("p_partkey", bits.cast("bigint").alias("bits"))
+    return (field(arithmetic.bit_and(size, F.lit(4))) == 4).rows(table(spark, d, "part")).select("p_partkey", bits.alias("bits"))
 
 
 @query("SELECT p_partkey, CASE WHEN b = 0 THEN NULL ELSE a // b END AS quotient, CASE WHEN b = 0 THEN NULL ELSE a % b END AS remainder FROM (SELECT p_partkey, CAST(p_size - 25 AS BIGINT) AS a, CAST(p_partkey % 7 - 3 AS BIGINT) AS b FROM part)")
@@ -121,7 +121,7 @@ U = "(CAST(18446744073709551615 AS UBIGINT) - CAST(p_partkey AS UBIGINT))"
 def unsigned_bits(spark, d):
     """Operands beyond 2**63."""
     u = F.lit(str(arithmetic.MOST_UNSIGNED)).cast(arithmetic.UNSIGNED) - F.col("p_partkey")
-    parts = {"low": arithmetic.bit_and(u, F.lit(255)), "more": arithmetic.bit_or(u, F.lit(4096)), "turned": arithmetic.bit_xor(u, F.col("p_size"))}
+    parts = {"low": arithmetic.unsigned_bit_and(u, F.lit(255)), "more": arithmetic.unsigned_bit_or(u, F.lit(4096)), "turned": arithmetic.unsigned_bit_xor(u, F.col("p_size"))}
     return table(spark, d, "part").select("p_partkey", *[v.cast("string").alias(n) for n, v in parts.items()])
 
 
@@ -732,7 +732,9 @@ def create_attributes(spark, d):
     """An attribute, and a note that is not written, of each returned line."""
     all_ = order_nodes(spark, d)
     noted = nodes.create_annotation(all_, nodes.roots(all_).filter("kind = 'element'"), "checked")
-    return nodes.export_documents(nodes.create_attribute(noted, nodes.where(noted.filter("name = 'line'"), nodes.step(noted.filter("kind = 'text' and value = 'R'"), noted, "parent", "flag"), "child"), "returned", "yes"))
+    flags = nodes.step(noted.filter("kind = 'text' and value = 'R'"), noted, "parent", "flag")
+    lines = nodes.where(noted.filter("name = 'line'"), flags, "child")
+    return nodes.export_documents(nodes.create_attribute(noted, lines, "returned", "yes"))
 
 
 @query("SELECT l_orderkey AS doc_id, count(*) FILTER (WHERE l_returnflag <> 'R') AS lines FROM lineitem GROUP BY 1")

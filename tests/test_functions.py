@@ -44,6 +44,22 @@ def test_signed_arithmetic_at_the_boundaries(spark):
         assert (r["and"], r["xor"], r["or"], r["neg"]) == (r.a & r.b, r.a ^ r.b, r.a | r.b, held(-r.a))
 
 
+def test_mixed_signs_and_unsigned_bits(spark):
+    wide = [*NUMBERS, 2**63, 2**64 - 1]
+    df = spark.createDataFrame([(str(a), str(b)) for a in wide for b in wide], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    names = ("add", "subtract", "multiply", "divide", "modulo")
+    bits = ("and", "or", "xor")
+    rows = df.select("a", "b", *[getattr(arithmetic, f"mixed_{n}")(a, b).alias(n) for n in names], *[getattr(arithmetic, f"unsigned_bit_{n}")(a, b).alias(n) for n in bits]).collect()
+    fits = lambda x: x if x is not None and -(2**63) <= x < 2**64 else None
+    for r in rows:
+        x, y = int(r.a), int(r.b)
+        q = cut(x, y)
+        want = (x + y, x - y, x * y, q, None if q is None else x - q * y)
+        assert tuple(None if r[n] is None else int(r[n]) for n in names) == tuple(map(fits, want))
+        assert tuple(int(r[n]) for n in bits) == tuple(z % 2**64 for z in (x & y, x | y, x ^ y))
+
+
 def test_comparisons_across_widths(spark):
     wide = [*NUMBERS, 2**63, 2**64 - 1]
     df = spark.createDataFrame([(str(a), str(b)) for a in wide for b in wide], "a string, b string")
@@ -129,6 +145,11 @@ def test_words_by_sound(a, b):
     assert set(phonetic.sounds(a)) & set(phonetic.sounds(b))
 
 
+def test_sounds_alike_of_two_columns(spark):
+    df = spark.createDataFrame([("night", "knight ryder"), ("knight ryder", "night"), (None, "a"), ("a", None), ("", "a")], "a string, b string")
+    assert [r[0] for r in df.select(phonetic.sounds_alike("a", "b")).collect()] == [True, False, None, None, False]
+
+
 def test_sounds_like(spark):
     assert phonetic.packed("SM0") < 1 << 16 and phonetic.sounds("") == [""] and phonetic.sounds("banana") != phonetic.sounds("table")
     df = spark.createDataFrame([("the quick night rider",), ("nothing here",), (None,)], "t string")

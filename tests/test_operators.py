@@ -60,6 +60,56 @@ def test_conditions_and_attributes(spark, chart):
     assert nodes.step(chart.filter("doc_id = 2"), chart, "descendant", "director").count() == 0
 
 
+@pytest.mark.parametrize("axis", nodes.AXES)
+def test_steps_and_conditions_in_blocks(spark, chart, monkeypatch, axis):
+    """Each axis, as a step and as a condition, against all pairs of nodes, with documents of many blocks."""
+    monkeypatch.setattr(nodes, "BLOCK", 4)
+    rows = chart.collect()
+    start = [r for r in rows if r.name in ("president", "director", "empID") or r.value == "West"]
+    context = spark.createDataFrame(start, chart.schema)
+    plain = lambda n: n.kind != "attribute"
+    on = {
+        "self": lambda c, n: n.pre == c.pre, "child": lambda c, n: n.parent == c.pre and plain(n), "parent": lambda c, n: n.pre == c.parent, "descendant": lambda c, n: c.pre < n.pre <= c.last and plain(n),
+        "descendant-or-self": lambda c, n: n.pre == c.pre or c.pre < n.pre <= c.last and plain(n), "ancestor": lambda c, n: n.pre < c.pre <= n.last and n.kind == "element",
+        "ancestor-or-self": lambda c, n: n.pre == c.pre or n.pre < c.pre <= n.last and n.kind == "element", "following-sibling": lambda c, n: n.parent == c.parent and c.sibling is not None and n.sibling is not None and n.sibling > c.sibling,
+        "preceding-sibling": lambda c, n: n.parent == c.parent and c.sibling is not None and n.sibling is not None and n.sibling < c.sibling, "following": lambda c, n: n.pre > c.last and plain(n), "preceding": lambda c, n: n.last < c.pre and plain(n),
+        "attribute": lambda c, n: n.parent == c.pre and n.kind == "attribute", "namespace": lambda c, n: False, "root": lambda c, n: n.depth == 0,
+    }[axis]
+    met = [(c, n) for c in start for n in rows if c.doc_id == n.doc_id and on(c, n)]
+    assert sorted((r.doc_id, r.pre) for r in nodes.step(context, chart, axis).collect()) == sorted({(n.doc_id, n.pre) for _, n in met})
+    assert sorted((r.doc_id, r.pre) for r in nodes.where(context, chart, axis).collect()) == sorted({(c.doc_id, c.pre) for c, _ in met})
+
+
+def test_new_nodes(spark, chart):
+    chart.createOrReplaceTempView("chart")
+    new = nodes.insert_before(chart, chart.filter("name = 'director'"), "seat", None)
+    new = nodes.create_attribute(new, new.filter("name = 'seat' or name = 'groupvp'"), "empID", F.concat(F.lit("n"), F.col("pre")))
+    new = nodes.create_annotation(new, new.filter("name = 'seat'"), "unseen")
+    own = sorted((r for r in new.collect() if r.doc_id == 1), key=lambda r: r.pre)
+    assert [r.pre for r in own] == list(range(len(own))) and [r.value for r in own if r.kind == "annotation"] == ["unseen"] * 2
+    for r in own:  # ranges hold all below, links hold
+        below, seek = set(), [r.pre]
+        while seek:
+            below |= set(seek)
+            seek = [x.pre for x in own if x.parent in seek]
+        assert r.last == max(below) and len(below) == r.last - r.pre + 1
+    text = next(r.xml for r in nodes.export_documents(new).collect() if r.doc_id == 1)
+    assert text.count("<seat empID=") == 2 and text.count('empID="3"') == 0 and "unseen" not in text
+    lines = next(r.xml for r in nodes.export_documents(chart, indent=2, declaration=True).collect() if r.doc_id == 2)
+    assert lines.split("\n") == ['<?xml version="1.0" encoding="UTF-8"?>', '<chairman empID="9">', "  <name>Zed</name>", "</chairman>"]
+
+
+def test_namespaces_of_attributes_come_back(spark):
+    xml = '<a xmlns:p="urn:p" p:k="1" k="2"><b xmlns="urn:q"/></a>'
+    docs = spark.createDataFrame([(1, xml), (2, "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>")], "i bigint, x string")
+    table = nodes.import_documents(docs, "i", "x")
+    assert [r.value for r in nodes.step(nodes.roots(table), table, "namespace").collect()] == ["urn:p"]
+    assert [r.i for r in nodes.rejected(docs, table, "i").collect()] == [2]
+    back = nodes.import_documents(nodes.export_documents(table), "doc_id", "xml")
+    named = lambda t: sorted((r.kind, r.name, r.ns or "", r.value or "") for r in t.filter("coalesce(ns, '') <> 'xmlns'").collect())
+    assert named(back) == named(table)
+
+
 def test_meta_links(chart):
     rows = {(r.doc_id, r.pre): r for r in chart.collect()}
     for r in rows.values():
@@ -100,6 +150,13 @@ def test_record_trees(spark):
     assert {r.tag: r["count"] for r in records.unknown_tags(rows, spark.createDataFrame([(1,), (2,), (3,), (4,)], "tag int")).collect()} == {6: 2}
 
 
+def test_text_trees_keep_line_ends(spark):
+    values = ["a\nb", "\\n", "x\\\ny", " two  ", "", "\x0b\x1c\u2028|", "\r\n"]
+    df = spark.createDataFrame(list(enumerate(values)), "drn bigint, v string").select("drn", F.array(records.make_field(0, None, 0, 1, "context"), records.make_field(1, 0, 1, 2, "text", F.col("v"))).alias("fields"))
+    back = records.from_text_tree(df.select("drn", records.to_text_tree().alias("text")))
+    assert {r.drn: r.v for r in back.select("drn", records.values_of(2)[0].alias("v")).collect()} == dict(enumerate(values))
+
+
 # ------------------------------------------------------------------ positions
 
 
@@ -123,6 +180,9 @@ def test_orders_both_ways(names, keys, order):
     assert position.first(names, keys, "id").first().id == order[0] and position.last(names, keys, "id").first().id == order[-1]
     assert position.at(names, keys, "id", 2).first().id == order[1] and position.at(names, keys, "id", 0).count() == 0 and position.at(names, keys, "id", -1).count() == 0
     assert position.move(names, keys, "id", order[3], -2).first().id == order[1]
+    for a in (0, 2, 4):
+        for by in (-1, 0, 2):
+            assert [r.id for r in position.move(names, keys, "id", order[a], by).collect()] == ([order[a + by]] if 0 <= a + by < 5 else [])
     assert position.compare_places(names, keys, "id", order[0], order[4]).first().comparison == -1
     assert [r.percent_position for r in position.percent_place(names, keys, "id").orderBy("position").collect()] == [0, 250, 500, 750, 1000]
 
@@ -136,6 +196,13 @@ def test_seek_and_pages(names):
         position.seek(names, [], "id", 1)
 
 
+def test_verify_sort_keys(names):
+    position.verify(names, [SortKey("name"), SortKey("many", many=True, limit=2)], "id")
+    for keys in ([], [SortKey("name")] * 2, [SortKey("none")], [SortKey("many")], [SortKey("n", many=True)], [SortKey("n", limit=0)]):
+        with pytest.raises(ValueError):
+            position.verify(names, keys, "id")
+
+
 def test_retrieve(names):
     got = lambda how, v=None: [r.id for r in access.retrieve(names, "id", v, how).collect()]
     assert got("exact", 3) == [3] and got("including", 3) == [3] and got("excluding", 3) == [4] and got("first") == [1] and got("last") == [5] and got("excluding", 5) == []
