@@ -128,9 +128,10 @@ _RULES = re.compile(
     rf"|(?P<digits>\b(?:(?:{_PLUS})[\s,-]+)?{_DIGIT}(?:[\s,-]+(?:{_DIGIT}|oh|{_WORDED}))*[\s,-]+{_DIGIT}\b)",
     re.I,
 )
-# One of these is in each text that a rule changes: a disguise in brackets, a dot or at in words or among spaces, or a run's last digit.
-_BRACKETS = re.compile(rf"[\[({{<]\s*(?:at|@|ät|arroba|arobase?|{_WORDED}|\.)\s*[\])}}>]", re.I)
-_LAST = re.compile(rf"[\s,-](?:(?:{_WORDED})\s|{_DIGIT}\b)|\s(?:@|ät|arroba|arobase?)\s", re.I)
+# One of these is in each lower-cased text that a rule changes: a disguise in brackets, an at in words or among spaces with a
+# host behind it, a dot in words, or the last two words of a run of digits.
+_BRACKETS = re.compile(rf"[\[({{<]\s*(?:at|@|ät|arroba|arobase?|{_WORDED}|\.)\s*[\])}}>]")
+_LAST = re.compile(rf"\sdot\s|\s(?:@|ät|arroba|arobase?)\s|\sat\s+{_HOST}\s+(?:punkt|punto)\s|[\s,-](?:oh|{_WORDED})[\s,-]+{_DIGIT}\b|\b{_DIGIT}[\s,-]+{_DIGIT}\b")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -200,7 +201,8 @@ def disguised(text: str) -> bool:
     """Whether a transducer changes the text; asks both, so that it is never narrower than they are."""
     if not text.isascii() and any(letter(c) != c for c in set(text)):
         return True
-    return (_BRACKETS.search(text) or _LAST.search(text)) is not None and _RULES.search(text) is not None
+    low = text.lower()
+    return (_BRACKETS.search(low) or _LAST.search(low)) is not None and _RULES.search(text) is not None
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
