@@ -36,6 +36,15 @@ def records_of_keys(index: DataFrame, records: DataFrame, id_col: str = "drn") -
     return records.join(index.select(id_col), id_col, "left_semi")
 
 
+def in_both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` that ``right`` has too, in all of their columns.
+
+    Rows that were made from others are far larger than Catalyst takes them for (an array counts as one element,
+    a text as 20 bytes), so the sides are shuffled: a broadcast would take them whole through the driver.
+    """
+    return left.join(right.hint("merge"), left.columns)
+
+
 def any_of(df: DataFrame, criteria: list[Column]) -> DataFrame:
     """The union of sub-queries over one table without repeats: one scan."""
     return df.filter(reduce(lambda a, b: a | b, criteria))

@@ -282,8 +282,8 @@ def record_field_counts(spark, d):
 def record_text_round_trip(spark, d):
     """Records written as text trees and read back, of which those that came back the same."""
     own = person_records(spark, d)
-    back = records.from_text_tree(own.select("drn", records.to_text_tree().alias("text"))).select(F.col("drn").alias("b"), F.col("fields").alias("again"))
-    return own.join(back, (F.col("drn") == F.col("b")) & (F.to_json("fields") == F.to_json("again"))).select("drn")
+    back = records.from_text_tree(own.select("drn", records.to_text_tree().alias("text"))).select("drn", F.to_json("fields").alias("record"))
+    return access.in_both(own.select("drn", F.to_json("fields").alias("record")), back).select("drn")
 
 
 @query("SELECT c_custkey AS drn, c_custkey + 1 AS ref FROM customer WHERE c_custkey + 1 IN (SELECT c_custkey FROM customer)")
@@ -751,5 +751,4 @@ def delete_nodes(spark, d):
 def xml_round_trip(spark, d):
     """Documents that come back as they were from the node table."""
     docs = order_documents(spark, d)
-    back = nodes.export_documents(nodes.import_documents(docs, "doc_id", "xml")).select(F.col("doc_id").alias("b"), F.col("xml").alias("again"))
-    return docs.join(back, (F.col("doc_id") == F.col("b")) & (F.col("xml") == F.col("again"))).select("doc_id")
+    return access.in_both(docs, nodes.export_documents(nodes.import_documents(docs, "doc_id", "xml"))).select("doc_id")

@@ -290,3 +290,11 @@ def test_text_round_trip_of_all_customers(spark):
     back = records.from_text_tree(own.select("drn", records.to_text_tree().alias("text")))
     wanted, found = ({r.drn: r.fields for r in rows.select("drn", "fields").collect()} for rows in (own, back))
     assert found == wanted and len(found) == own.count()
+
+
+@pytest.mark.parametrize("name", ["record_text_round_trip", "xml_round_trip"])
+def test_round_trips_send_no_side_whole_through_the_driver(spark, name):
+    from tessera.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
