@@ -298,3 +298,15 @@ def test_round_trips_send_no_side_whole_through_the_driver(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_a_change_shuffles_nodes_once(spark, chart, monkeypatch):
+    monkeypatch.setattr(nodes, "written", lambda df: df)
+    new = nodes.insert_before(chart, chart.filter("name = 'director'"), "seat")
+    assert new._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_changes_after_the_last_node_went(spark, chart):
+    left = nodes.delete_subtrees(chart, chart.filter("doc_id = 2 and name = 'name'"))
+    new = nodes.create_attribute(left, nodes.roots(left), "rank", "1")
+    assert [(r.name, r.pre, r.last) for r in new.filter("doc_id = 2").orderBy("pre").collect()] == [("chairman", 0, 2), ("rank", 1, 1), ("empID", 2, 2)]
