@@ -86,10 +86,11 @@ class Encoder:
 
     def known(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, as bytes."""
-        if len(self.young) + len(pieces) > PIECE_CACHE // 2:
+        new = [x for x in pieces if x not in self.young]
+        if len(self.young) + len(new) > PIECE_CACHE // 2:
             self.young, self.old = {}, self.young
+            new = pieces
         young, old = self.young, self.old
-        new = [x for x in pieces if x not in young]
         young.update((x, old[x]) for x in new if x in old)
         self.learn([x for x in new if x not in old])
         return [young[x] for x in pieces]
@@ -99,9 +100,8 @@ class Encoder:
             some = pieces[i : i + 2000]
             spelled = [x if x.isascii() and x.isalnum() else x.encode().decode("latin-1").translate(self.alphabet) for x in some]
             got = np.array(self.pieces.encode_batch_fast(["\n".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
-            until = np.flatnonzero(self.last[got]) + 1  # each piece's last id is one that ends a word
-            for x, ids in zip(some, np.split(got, until[:-1]), strict=True):
-                self.young[x] = ids.tobytes()
+            raw, until = got.tobytes(), ((np.flatnonzero(self.last[got]) + 1) * 4).tolist()  # each piece's last id is one that ends a word
+            self.young.update((x, raw[a:b]) for x, a, b in zip(some, [0, *until[:-1]], until, strict=True))
 
     def split(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the pieces of a lower-cased simple text."""

@@ -76,3 +76,11 @@ def test_little_padding(spark, encoder):
     sizes = check_packed(rows, [(r.doc_id, r.text) for r in docs.collect()], encoder)
     padding = sum(packing.CAPACITY - n for n in sizes if n & (n - 1))
     assert padding < 0.01 * sum(sizes)
+
+
+def test_pieces_that_are_known_age_no_others(monkeypatch):
+    from tessera.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(packing, "PIECE_CACHE", 40)
+    own, words = packing.Encoder(tokenizer_path()), [f"word{c}" for c in "abcdefghijkl"]
+    assert own.known(words) == own.known(words) and set(own.young) == set(words) and not own.old
