@@ -25,11 +25,12 @@ def word_keys(df: DataFrame, id_col: str, text: Column, rules: Rules = EXACT) ->
 
 
 def substring_keys(df: DataFrame, id_col: str, text: Column, rules: Rules = EXACT, limit: int = SUBSTRING_LIMIT) -> DataFrame:
-    """A key for each place in the text that is no space, up to the limit."""
+    """A key for each place in the text that is no space, up to the limit. A record's texts meet and its keys are told apart there: keys are not shuffled."""
     own = df.select(F.col(id_col).alias("drn"), rules.apply(text).alias("text")).filter("length(text) > 0")
-    starts = own.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("text"))))
-    keys = starts.select("drn", F.substring("text", F.col("start"), F.lit(limit)).alias("key"))
-    return keys.filter(~F.startswith("key", F.lit(" "))).distinct()
+    texts = own.groupBy("drn").agg(F.collect_set("text").alias("texts"))
+    starts = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda at: F.substring(t, at, F.lit(limit)))
+    keys = F.filter(F.array_distinct(F.flatten(F.transform("texts", starts))), lambda k: ~F.startswith(k, F.lit(" ")))
+    return texts.select("drn", F.explode(keys).alias("key"))
 
 
 def presence_keys(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:

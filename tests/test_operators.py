@@ -310,3 +310,18 @@ def test_changes_after_the_last_node_went(spark, chart):
     left = nodes.delete_subtrees(chart, chart.filter("doc_id = 2 and name = 'name'"))
     new = nodes.create_attribute(left, nodes.roots(left), "rank", "1")
     assert [(r.name, r.pre, r.last) for r in new.filter("doc_id = 2").orderBy("pre").collect()] == [("chairman", 0, 2), ("rank", 1, 1), ("empID", 2, 2)]
+
+
+def test_substring_keys_of_a_record_with_several_rows(spark):
+    rows = spark.createDataFrame([(1, "ab b"), (1, "b b"), (1, "ab b"), (2, ""), (3, None), (None, "b")], "i long, t string")
+    keys = index.substring_keys(rows, "i", F.col("t"))
+    assert "Generate" not in keys._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]  # no keys below the shuffle
+    assert sorted((r.drn or 0, r.key) for r in keys.collect()) == [(0, "b"), (1, "ab b"), (1, "b"), (1, "b b")]
+
+
+def test_a_word_is_sounded_out_once(monkeypatch):
+    from tessera.functions import phonetic
+
+    asked, own = [], phonetic.sounds
+    monkeypatch.setattr(phonetic, "sounds", lambda w: asked.append(w) or own(w))
+    assert all(phonetic.word_sounds_alike("zizmo", "gizmo zizmo") for _ in range(50)) and asked.count("zizmo") == 1
