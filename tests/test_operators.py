@@ -325,3 +325,12 @@ def test_a_word_is_sounded_out_once(monkeypatch):
     asked, own = [], phonetic.sounds
     monkeypatch.setattr(phonetic, "sounds", lambda w: asked.append(w) or own(w))
     assert all(phonetic.word_sounds_alike("zizmo", "gizmo zizmo") for _ in range(50)) and asked.count("zizmo") == 1
+
+
+def test_nodes_of_long_documents_are_handed_on_apart(spark, monkeypatch):
+    """Few characters at a time, with documents between that are broken or declare entities."""
+    texts = ["<a><b>x</b></a>", "<a><b>", "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>", None, "<!--t--><a k='1'><b/>y<c>z</c></a>"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "i long, x string").coalesce(1)
+    want = sorted(map(str, nodes.import_documents(docs, "i", "x").collect()))
+    monkeypatch.setattr(nodes, "CHARACTERS", 10)
+    assert sorted(map(str, nodes.import_documents(docs, "i", "x").collect())) == want and len(want) == 3 * (3 + 7)
