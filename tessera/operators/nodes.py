@@ -10,6 +10,7 @@ Attributes are nodes of their own kind that only the attribute axis reaches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.parsers import expat
@@ -165,20 +166,164 @@ def _batch(doc: np.ndarray, ids: pa.Array, last: np.ndarray, parent: np.ndarray,
 DOCUMENTS = 500
 CHARACTERS = 1 << 19
 
+#: What only the parser's events tell right: references, line ends to change, instructions, CDATA, a DTD, namespaces, a byte order mark.
+EVENTFUL = "&|\r|<\\?|<!\\[|<!D|xml|\ufeff"
+_HEAD = re.compile(r"([^ \t\n/]+)[ \t\n]*([^ \t\n/=]*)")
+
+
+def _well_formed(text: bytes) -> bool:
+    try:
+        return bool(expat.ParserCreate("utf-8", "\n").Parse(text, True))
+    except expat.ExpatError:
+        return False
+
+
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Texts at rising places of UTF-8 bytes."""
+    places = np.empty(2 * len(begin) + 1, dtype=np.int32)
+    places[:-1:2], places[1::2], places[-1] = begin, end, end[-1] if len(end) else 0
+    return pa.StringArray.from_buffers(2 * len(begin), pa.py_buffer(places), pa.py_buffer(data)).take(pa.array(np.arange(0, 2 * len(begin), 2)))
+
+
+def _places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A text array's bytes and where each text begins in them; the last place is their end."""
+    texts = pa.concat_arrays([texts.fill_null(""), pa.array([], pa.string())])  # begins at 0 with a buffer of its own
+    _, places, data = texts.buffers()
+    at = np.frombuffer(places, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data or b"", dtype=np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _irregular(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which well-formed documents have a < or > inside of a comment, text or attribute, or single quotes within a tag."""
+    marks = np.flatnonzero((data == ord("<")) | (data == ord(">")))
+    doc = np.searchsorted(at, marks, "right") - 1
+    many = np.bincount(doc, minlength=len(at) - 1)
+    closes = data[marks] == ord(">")
+    bad = many % 2 == 1
+    bad[doc[closes != ((np.arange(len(marks)) - (np.cumsum(many) - many)[doc]) % 2 == 1)]] = True
+    fine = ~bad[doc]
+    begin, end, doc = marks[fine & ~closes], marks[fine & closes], doc[fine & closes]
+    comment = data[begin + 1] == ord("!")
+    bad[doc[comment & ((end - begin < 6) | (data[end - 1] != ord("-")) | (data[end - 2] != ord("-")))]] = True
+    single = np.flatnonzero(data == ord("'"))
+    near = np.searchsorted(begin, single) - 1
+    inside = (near >= 0) & (single < end[near]) & ~comment[near] if len(begin) else np.zeros(len(single), dtype=bool)
+    bad[doc[near[inside]]] = True
+    return bad
+
+
+def _tokens(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The nodes of well-formed, regular documents, by the places of their < > and ", for all of them at once."""
+    data, at = _places(texts)
+    begin, end = np.flatnonzero(data == ord("<")), np.flatnonzero(data == ord(">"))
+    doc = np.searchsorted(at, begin, "right") - 1
+    first = data[begin + 1]
+    closing, comment = first == ord("/"), first == ord("!")
+    element = ~closing & ~comment
+    opening = element & (data[end - 1] != ord("/"))
+    after = np.cumsum(opening.astype(np.int64) - closing)
+    # attributes: pairs of quotes within tags
+    quotes = np.flatnonzero(data == ord('"'))
+    near = np.searchsorted(begin, quotes) - 1
+    inside = (near >= 0) & (quotes < end[near]) & element[near]
+    opened, closed, tag = quotes[inside][::2], quotes[inside][1::2], near[inside][::2]
+    attributes = np.bincount(tag, minlength=len(begin))
+    # texts: behind each tag or comment, up to the next; not beside the outermost element
+    upto = np.append(begin[1:], len(data))
+    follows = (after > 0) & (upto > end + 1)
+    behind = _slices(data, end[follows] + 1, upto[follows])
+    follows[follows] = ~pc.utf8_is_space(behind).to_numpy(zero_copy_only=False)
+    # numbers of nodes
+    many = np.where(closing, 0, 1 + attributes) + follows
+    base = np.cumsum(many) - many
+    total = int(many.sum())
+    kinds, plain = np.full(total, TEXT, dtype=np.uint8), np.ones(total, dtype=bool)
+    kinds[base[element]], kinds[base[comment]] = ELEMENT, COMMENT
+    new = np.ones(len(tag), dtype=bool)
+    new[1:] = tag[1:] != tag[:-1]
+    place = np.arange(len(tag)) - np.maximum.accumulate(np.where(new, np.arange(len(tag)), 0)) if len(tag) else tag
+    attribute = base[tag] + 1 + place
+    kinds[attribute], plain[attribute] = ATTRIBUTE, False
+    text = (base + many - 1)[follows]
+    # an element's end is the next tag of its level that closes one; a node's parent is the last one opened on the level above
+    level = np.where(opening, after, after + closing)  # of what a tag opens or closes
+    paired = np.flatnonzero(opening | closing)
+    paired = paired[np.argsort(level[paired], kind="stable")]
+    last = np.arange(total)
+    last[base[paired[::2]]] = base[paired[1::2]] - 1
+    alone = element & ~opening
+    last[base[alone]] = (base + attributes)[alone]
+    depth, parent = np.zeros(total, dtype=np.int64), np.full(total, -1)
+    depth[base[element | comment]] = (after - opening)[element | comment]
+    depth[text] = after[follows]
+    nodes = np.flatnonzero(plain)
+    opener = base[opening]
+    where_, levels = np.concatenate([opener, nodes]), np.concatenate([depth[opener] + 1, depth[nodes]])
+    order = np.lexsort((np.arange(len(where_)) >= len(opener), where_, levels))
+    # a node that opens a level stands before those within it; on its own level it comes after what holds it
+    seen = np.maximum.accumulate(np.where(order < len(opener), np.arange(len(order)), -1))
+    inner = (order >= len(opener)) & (levels[order] > 0)
+    parent[where_[order[inner]]] = where_[order[seen[inner]]]
+    parent[attribute], depth[attribute] = base[tag], (after - opening)[tag] + 1
+    # names: the few heads of tags and what stands between attributes
+    least = end.copy()
+    least[tag[new]] = opened[new]
+    heads = _slices(data, begin[element] + 1, least[element]).dictionary_encode()
+    pairs = [_HEAD.match(x).groups() for x in heads.dictionary.to_pylist()]
+    between = _slices(data, np.append(-1, closed[:-1])[~new] + 1, opened[~new]).dictionary_encode()
+    known = [x for x, _ in pairs] + [y for _, y in pairs] + [x.strip(" \t\n=") for x in between.dictionary.to_pylist()]
+    own = heads.indices.to_numpy()
+    named = np.full(total, -1)
+    named[base[element]] = own
+    rank = np.cumsum(element) - 1
+    named[attribute[new]] = len(pairs) + own[rank[tag[new]]]
+    named[attribute[~new]] = 2 * len(pairs) + between.indices.to_numpy()
+    names = pa.array(known, pa.string()).take(pa.array(named, pa.int64(), mask=named < 0))
+    # values
+    left, right = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+    left[base[comment]], right[base[comment]] = begin[comment] + 4, end[comment] - 2
+    left[attribute], right[attribute] = opened + 1, closed
+    left[text], right[text] = end[follows] + 1, upto[follows]
+    valued = kinds != ELEMENT
+    values = _slices(data, left[valued], right[valued])
+    values = pc.if_else(pa.array(kinds[valued] == ATTRIBUTE), pc.replace_substring_regex(values, "[\t\n]", " "), values) if np.isin(data, (9, 10)).any() else values
+    values = values.take(pa.array(np.cumsum(valued) - 1, pa.int64(), mask=~valued))
+    owner = np.repeat(doc, many)
+    columns = {"kind": pa.array(KINDS).take(pa.array(kinds)), "name": names, "ns": pa.nulls(total, pa.string()), "value": values}
+    return _batch(owner, ids.take(pa.array(owner)), last, parent, depth, plain, columns)
+
+
+def _shred(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The nodes of some documents. The parser checks every one; its events are needed only for those with what EVENTFUL or ``_irregular`` finds."""
+    events = pc.fill_null(pc.match_substring_regex(texts, EVENTFUL), False).to_numpy(zero_copy_only=False)
+    data, at = _places(texts)
+    view = memoryview(data)
+    sound = np.array([not e and _well_formed(view[a:b]) for e, a, b in zip(events, at[:-1].tolist(), at[1:].tolist(), strict=True)], dtype=bool)
+    odd = _irregular(data, at) & sound
+    plain = sound & ~odd
+    if plain.any():
+        yield _tokens(ids.filter(pa.array(plain)), texts.filter(pa.array(plain)))
+    rest = events | odd
+    if rest.any():
+        out = Shredder()
+        for own, text in zip(ids.filter(pa.array(rest)).to_pylist(), texts.filter(pa.array(rest)).to_pylist(), strict=True):
+            out.add(own, text or "")
+        yield out.batch()
+
 
 def import_documents(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """The node table of a column of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, chars = Shredder(), 0
-            for own, text in zip(batch.column("doc_id").to_pylist(), (x.as_py() for x in batch.column("xml")), strict=True):
-                chars += len(text or "")
-                if out.documents and (chars > CHARACTERS or len(out.documents) == DOCUMENTS):
-                    yield out.batch()
-                    out, chars = Shredder(), len(text or "")
-                out.add(own, text or "")
-            yield out.batch()
+            ids, texts = batch.column("doc_id"), batch.column("xml").cast(pa.string())
+            begun, chars = 0, 0
+            for i, n in enumerate(pc.utf8_length(texts).fill_null(0).to_pylist()):
+                chars += n
+                if i > begun and (chars > CHARACTERS or i - begun == DOCUMENTS):
+                    yield from _shred(ids.slice(begun, i - begun), texts.slice(begun, i - begun))
+                    begun, chars = i, n
+            yield from _shred(ids.slice(begun), texts.slice(begun))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(xml_col).alias("xml")).mapInArrow(run, SCHEMA)
 

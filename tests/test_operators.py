@@ -334,3 +334,46 @@ def test_nodes_of_long_documents_are_handed_on_apart(spark, monkeypatch):
     want = sorted(map(str, nodes.import_documents(docs, "i", "x").collect()))
     monkeypatch.setattr(nodes, "CHARACTERS", 10)
     assert sorted(map(str, nodes.import_documents(docs, "i", "x").collect())) == want and len(want) == 3 * (3 + 7)
+
+
+def test_nodes_by_places_are_those_of_the_parser():
+    """Random documents, many of them broken or irregular, alone and beside others, against the parser's events."""
+    import random
+
+    import pyarrow as pa
+
+    def by_events(ids, texts):
+        out = nodes.Shredder()
+        for own, text in zip(ids, texts, strict=True):
+            out.add(own, text or "")
+        return sorted(map(str, out.batch().to_pylist()))
+
+    rng, texts = random.Random(7), [None, "", "<a>", "<a b='1'/>", '<a b="x>y"/>', "<a>x>y</a>", "<a><!-- > < --></a>", "<a><!-- it's <b> --></a>", "<!----><a/>", "<a>it's</a><!--t-->"]
+    texts += ['<a b = "1"\n\tc="2\t3\n"  />', "<a xmlns='u'><b/></a>", "<a>&amp;<![CDATA[x]]></a>", "<p:a/>", "<a b=\"1\" b=\"2\"/>", "<a>\u00a0</a>", "<a>\u200b</a>", "<a>\u3000 \u0085</a>", "<a\n>\r</a >", "<?t?><a/>", "\ufeff<a/>", '<a b="/"/>', '<a b="">"\'"</a>', "<!DOCTYPE a><a/>"]
+
+    def inner(deep):
+        parts = []
+        for _ in range(rng.randrange(5)):
+            name, attributes = rng.choice(["b", "c-d", "\u00e9", "e.1"]), "".join(f"{rng.choice([' ', '  ', chr(10)])}k{i}{rng.choice(['=', ' = '])}{rng.choice(['"v"', '""', '"a b"', '"it/s"', '"\u00fc"'])}" for i in range(rng.randrange(4)))
+            tag = f"<{name}{attributes}{rng.choice(['', ' '])}/>" if deep == 0 or rng.random() < 0.3 else f"<{name}{attributes}>{inner(deep - 1)}</{name}{rng.choice(['', ' '])}>"
+            parts.append(rng.choice([tag, tag, tag, "x y", " ", "\n", "\u00e4", "<!---->", "<!-- c -->", 'say "so"', "a>b", "&lt;", "<!--a>b-->", "<", "</b>"][: rng.choice([10, 10, 10, 15])]))
+        return "".join(parts)
+
+    texts += [f"{rng.choice(['', '<!-- first -->', chr(10)])}<r>{inner(4)}</r>{rng.choice(['', chr(10), '<!--last-->'])}" for _ in range(1500)]
+    ids = [None if i % 97 == 5 else i for i in range(len(texts))]
+    plain = 0
+    for size in (1, 7, len(texts)):
+        for at in range(0, len(texts), size):
+            own, some = ids[at : at + size], texts[at : at + size]
+            found = list(nodes._shred(pa.array(own, pa.int64()), pa.array(some, pa.string())))
+            assert sorted(str(x) for b in found for x in b.to_pylist()) == by_events(own, some)
+            plain += len(found) == 1
+    assert plain > 300
+
+
+def test_regular_documents_need_no_events(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(nodes, "Shredder", None)
+    found = list(nodes._shred(pa.array([1, 2]), pa.array(["<a k=\"1\"><b>x</b><!-- c --></a>", "<a><b></a>"])))
+    assert [b.column("name").to_pylist() for b in found] == [["a", "k", "b", None, None]]
