@@ -377,3 +377,19 @@ def test_regular_documents_need_no_events(monkeypatch):
     monkeypatch.setattr(nodes, "Shredder", None)
     found = list(nodes._shred(pa.array([1, 2]), pa.array(["<a k=\"1\"><b>x</b><!-- c --></a>", "<a><b></a>"])))
     assert [b.column("name").to_pylist() for b in found] == [["a", "k", "b", None, None]]
+
+
+def test_numbers_of_texts(spark):
+    """As by try_cast; texts without a digit do not get as far as an exception."""
+    import time
+
+    texts = ["12", " 7 ", "+3", "-4", "1.5", "x1", "", "A", "9999999999", "\u0661", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert all(a == b for a, b in df.select(nodes.number(F.col("t"), "int"), F.col("t").try_cast("int")).collect())
+    many = spark.range(0, 1_000_000, 1, 1).select(F.concat(F.lit("A"), F.chr(F.col("id") % 20 + 66)).alias("t"))
+    took = []
+    for number in (nodes.number(F.col("t"), "int"), F.col("t").try_cast("int")):
+        began = time.monotonic()
+        assert many.filter(number >= 48).count() == 0
+        took.append(time.monotonic() - began)
+    assert took[0] < took[1] / 1.5
