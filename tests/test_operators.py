@@ -393,3 +393,61 @@ def test_numbers_of_texts(spark):
         assert many.filter(number >= 48).count() == 0
         took.append(time.monotonic() - began)
     assert took[0] < took[1] / 1.5
+
+
+def test_a_round_trip_shuffles_texts_only(spark):
+    """Orders to one shuffle for both sides; nodes stay where their documents are."""
+    from tessera.plans.queries import QUERIES
+
+    done = QUERIES["xml_round_trip"](spark, "/root/testdata/sf0.001")
+    assert done.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().count()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4  # orders, planned once for each side, and the sides of the join
+
+
+def test_texts_of_whole_documents(monkeypatch):
+    """Random documents in batches that part them, some nodes gone, against a plain recursive writer."""
+    import random
+    from xml.sax.saxutils import escape, quoteattr
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+
+    def inner(deep):
+        parts = []
+        for _ in range(rng.randrange(5)):
+            attributes = "".join(f" k{i}=" + rng.choice(['"v"', '""', '"it\'s"', "'a&quot;b'", '"&amp;\u00fc&#10;x"', "'say &quot; it&apos;s &lt;'"]) for i in range(rng.randrange(4)))
+            attributes += rng.choice(["", "", ' xmlns:p="urn:p" p:k="1" p:l="&quot;"', ' xmlns="urn:q"'])
+            name = rng.choice(["b", "c-d", "\u00e9"])
+            tag = f"<{name}{attributes}/>" if deep == 0 or rng.random() < 0.3 else f"<{name}{attributes}>{inner(deep - 1)}</{name}>"
+            parts.append(rng.choice([tag, tag, tag, "x y", "&lt;&amp;", "\u00e4", "<!-- c<>& -->", "<?pi v<>?>", "<![CDATA[<&]]>", "\n t\t"]))
+        return "".join(parts)
+
+    def plain(rows, parent=None):
+        out = []
+        for r in (x for x in rows if x["parent"] == parent and x["kind"] != "attribute"):
+            value = r["value"] or ""
+            if r["kind"] != "element":
+                out.append({"text": escape(value), "cdata": f"<![CDATA[{value}]]>", "comment": f"<!--{value}-->", "pi": f"<?{r['name']} {value}?>"}[r["kind"]])
+                continue
+            head = f"<{r['name']}" + (f" xmlns={quoteattr(r['ns'])}" if r["ns"] else "")
+            for a in (x for x in rows if x["parent"] == r["pre"] and x["kind"] == "attribute"):
+                own = a["ns"] not in (None, "", "xmlns")
+                head += (f" xmlns:n{a['pre']}={quoteattr(a['ns'])} n{a['pre']}:" if own else " xmlns:" if a["ns"] else " ") + f"{a['name']}={quoteattr(a['value'] or '')}"
+            below = plain(rows, r["pre"])
+            out.append(f"{head}>{below}</{r['name']}>" if below or any(x["parent"] == r["pre"] and x["kind"] != "attribute" for x in rows) else f"{head}/>")
+        return "".join(out)
+
+    shredder = nodes.Shredder()
+    for i in range(300):
+        shredder.add(None if i == 299 else 2**53 + i, f"{rng.choice(['', '<!-- f -->', '<?a b?>'])}<r>{inner(3)}</r>{rng.choice(['', '<!--l-->'])}")
+    table = shredder.batch()
+    table = table.filter(pa.array([k not in ("text", "comment") or rng.random() < 0.7 for k in table["kind"].to_pylist()]))
+    want = {}
+    for r in table.to_pylist():
+        want.setdefault(r["doc_id"], []).append(r)
+    want = {i: plain(rows) for i, rows in want.items()}
+    for size in (1, 50, table.num_rows):
+        found = [r for rows in nodes._whole_documents(table.slice(i, size) for i in range(0, table.num_rows, size)) for out in nodes._texts(rows) for r in out.to_pylist()]
+        assert {r["doc_id"]: r["xml"] for r in found} == want and len(found) == len(want)
