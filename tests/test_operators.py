@@ -451,3 +451,37 @@ def test_texts_of_whole_documents(monkeypatch):
     for size in (1, 50, table.num_rows):
         found = [r for rows in nodes._whole_documents(table.slice(i, size) for i in range(0, table.num_rows, size)) for out in nodes._texts(rows) for r in out.to_pylist()]
         assert {r["doc_id"]: r["xml"] for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("text", ['<a k="1"><b>x</b><!-- c --></a>', "<a k='1'>&amp;<![CDATA[x]]></a>", "<a><b>", "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>"])
+def test_an_import_holds_as_much_for_many_documents_as_for_few(spark, text):
+    """A worker keeps no parser and nothing that one left, also while cycles are not looked for."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "xml": [text] * 1000})
+    held = {}
+
+    def batches():
+        for i in range(13):
+            held[i] = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+            yield batch
+
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in nodes.import_documents(Docs(), "i", "x")(batches())) % 13 == 0
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held[12] - held[2] < 8 << 20  # a parser is some 13 KB; Python's own table of names may be made anew meanwhile
