@@ -8,7 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tessera.operators import position
 from tessera.plans.queries import ORACLES, QUERIES
+from tessera.sources.written import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +48,14 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["sort_by_nodes", "axis_preceding", "axis_following_sibling"])
+def test_only_the_import_of_nodes_runs_python(spark, name, monkeypatch):
+    """Also in what a query writes on its way."""
+    plans = []
+    driver.queries()["node_statistics"](spark, SF)  # the import, once
+    monkeypatch.setattr(position, "written", lambda df: plans.append(df) or written(df))
+    plans.append(driver.queries()[name](spark, SF))
+    said = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert len(said) == 1 + (name == "sort_by_nodes") and not any("Python" in x or "Arrow" in x for x in said)
