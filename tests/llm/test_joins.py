@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mixing, quality, topk
+from tessera.llm import common, jaccard, mixing, quality, topk
 from tessera.llm.components import components
 from tessera.llm.shingles import Shingler
 from tests.llm.conftest import documents
@@ -89,6 +91,47 @@ def test_join_matches_all_pairs(spark, monkeypatch, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def test_join_matches_all_pairs_where_all_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "NEED_ROWS", 0)
+    rows = near_copies(4)
+    got = jaccard.link(documents(spark, [(i, t, "en", "a") for i, t in [*rows, (None, "a row without an id")]])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == brute(rows)
+    some = spark.createDataFrame([(i,) for i in (3, 70_000, -5, 1 << 61)], "id long")
+    wanted = jaccard.bits(some)
+    at = np.array([r[0] for r in some.select(jaccard.bit()).collect()])
+    assert (wanted[at >> 3] >> (at & 7) & 1 == 1).all() and np.unpackbits(wanted).sum() == 4
+
+
+def test_join_leaves_its_result_on_disk_only(spark, monkeypatch, tmp_path):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle_" in x and x.endswith(".data")}
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    docs = documents(spark, [(i, t, "en", "a") for i, t in near_copies(5)])
+    before = shuffled()
+    written = common.materialize(jaccard.representatives(docs))
+    assert sum(os.path.getsize(x) for x in shuffled() - before) < 2000  # of counts
+    assert len(list(tmp_path.iterdir())) <= 9  # the rows and the components, what goes and what repeats, the result, and how four comparisons are blocked
+    assert written.count() == len({c for _, _, c in brute(near_copies(5))})
+
+
+def test_leaders_that_share_little_are_not_compared(spark, monkeypatch):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        passage = words(12)
+        rows += [(2 * i + k, " ".join(words(45) + passage + words(45))) for k in (0, 1)]
+    rows += [(100 + i, rows[i][1] + f" end{i}") for i in range(10)]
+    compared, compare = [], jaccard.compare
+    monkeypatch.setattr(jaccard, "compare", lambda docs, need, *options: compared.append(need.filter("role = 1").count()) or compare(docs, need, *options))
+    got = jaccard.link(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert 10 <= compared[0] <= 25 and max(compared[1:]) <= 25
+
+
 def test_join_odd(spark, odd_documents, no_documents):
     got = jaccard.link(odd_documents).collect()
     rows = [(r.doc_id, r.text) for r in odd_documents.filter("doc_id is not null").collect()]
