@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -485,3 +488,29 @@ def test_an_import_holds_as_much_for_many_documents_as_for_few(spark, text):
         tracemalloc.stop()
         gc.enable()
     assert held[12] - held[2] < 8 << 20  # a parser is some 13 KB; Python's own table of names may be made anew meanwhile
+
+
+def test_nodes_are_shuffled_packed_by_document(spark, chart, monkeypatch):
+    monkeypatch.setattr(nodes, "written", lambda df: df)
+    new = nodes.create_attribute(chart, chart.filter("name = 'name'"), "of", "us")
+    for changed in (new, nodes.export_documents(chart)):
+        assert "MapInArrow" in changed._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning", 1)[1]
+
+
+@pytest.mark.parametrize("far", [1, 1 << 40])
+def test_packed_nodes_are_the_same(monkeypatch, far):
+    monkeypatch.setattr(nodes, "UNPACKED", 60)
+    rng = random.Random(3)
+    rows = []
+    for doc in (None, 1, 2, 7):
+        for at in range(rng.choice((1, 9, 30))):
+            for turn, name in sorted({(rng.randrange(3), rng.choice((None, "", "a", "b☃"))) for _ in range(3)}, key=lambda x: (x[0], x[1] is not None, x[1] or "")):
+                link = lambda: rng.choice((-1, at * far, rng.randrange(99)))  # noqa: B023, E731
+                rows.append({"doc_id": doc, "turn": turn, "at": at * far, "last": link(), "parent": link(), "depth": rng.randrange(9), "kind": "text", "name": name, "ns": rng.choice((None, "u")), "value": rng.choice((None, "", "é" * rng.randrange(5)))})
+    kinds = {"doc_id": pa.int64(), "turn": pa.int32(), "at": pa.int64(), "last": pa.int64(), "parent": pa.int64(), "depth": pa.int32(), **dict.fromkeys(("kind", "name", "ns", "value"), pa.string())}
+    mixed = sorted(rows, key=lambda r: (r["doc_id"] or 0, rng.random()))  # documents stay together, as the shuffle leaves them
+    table = pa.table({c: pa.array([r[c] for r in mixed], kind) for c, kind in kinds.items()})
+    packed = list(nodes._pack(iter(table.to_batches(max_chunksize=17))))
+    assert sum(x.num_rows for x in packed) <= 4 + len(packed)
+    got = [r for part in nodes._unpacked(iter(packed)) for r in part.to_pylist()]
+    assert got == rows
