@@ -120,3 +120,15 @@ def test_stages_on_odd_and_no_documents(spark, stage, odd_documents, no_document
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
     assert jaccard.THRESHOLD == 75 and jaccard.WIDTH == 5
+
+
+def test_run_keeps_one_stage_on_disk(spark, monkeypatch):
+    gone, kept = [], []
+    own = corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(i), lambda spark, docs, d: docs) for i in range(4)])
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df: kept.append(own(df)) or kept[-1])
+    out = corpus_pipeline.run(spark, SF)
+    for df in kept:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._materialized)
+        gone.append(not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+    assert gone == [True, True, False] and out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
