@@ -493,7 +493,7 @@ def test_an_import_holds_as_much_for_many_documents_as_for_few(spark, text):
 def test_nodes_are_shuffled_packed_by_document(spark, chart, monkeypatch):
     monkeypatch.setattr(nodes, "written", lambda df: df)
     new = nodes.create_attribute(chart, chart.filter("name = 'name'"), "of", "us")
-    for changed in (new, nodes.export_documents(chart)):
+    for changed in (new, nodes.insert_before(chart, chart.filter("name = 'name'"), "of"), nodes.export_documents(chart)):
         assert "MapInArrow" in changed._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning", 1)[1]
 
 
